@@ -72,3 +72,25 @@ SELECT conv_id,
     + length(regexp_replace(text, '<(\\*)(/?turn|part)', '<\\\1\2', 'g')) + length('</turn>') + 1)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import read_ids, write_ids
+
+    blocks = write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), False, 1, 49_408)
+    return read_ids(blocks)
