@@ -2,15 +2,16 @@
 
 1. Each text becomes the set of its word shingles and a sketch of it; bands of the sketch are keys.
 2. Texts with equal sets form a class, whose smallest doc_id stands for it.
-3. Classes that share a band key are in one bucket. All are compared with the bucket's smallest id.
-4. Linked classes merge into components. A bucket whose members lie in several components isn't
-   settled: members outside its largest component are compared, some in each round, with all members
-   of other components, until every pair of the bucket was compared or is in one component.
+3. Classes that share a band key are in one bucket. A bucket's members are joined to loose groups
+   where sizes and sketches allow a link at all; a bucket gives a spanning forest of them, never its
+   pairs. Forests of all buckets make the loose components.
+4. In each loose component the full sets of the whole texts are compared, pairs of the most similar
+   sketches first, except pairs that links connect already. The links found make the components.
 
-So no link between bucket members is lost, though a group of many near copies costs about one
-comparison for each copy and band, and never all its pairs. With 32 bands of 4 coordinates a pair at
-a similarity of 0.85 shares no bucket with a probability of 6e-11 (0.80: 5e-8). A comparison forms
-the two full sets from the whole texts and counts their intersection.
+Members of a large bucket or loose component are dealt into blocks, and a task compares two blocks,
+so no task holds an unbounded group and no pair is left out; its output is again a forest. With 42
+bands of 6 coordinates a pair at a similarity of 0.85 shares no bucket with a probability of 2e-9
+(0.80: 3e-6); sketches rule a pair out at more than five standard deviations below the threshold.
 
 Edge cases: null or wordless text has the empty set and links with nothing; rows with one doc_id are
 one document for links, and each returns that document's component; a null doc_id links with
@@ -20,30 +21,31 @@ ignored. Repeated rows have equal sets, so they are always in one component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 from .shingles import band_keys, sets, sketches
 
-SKETCHED = "doc_id long, n_shingles long, print0 long, print1 long, bands array<long>"
-#: Members of an unsettled bucket that are compared with the others in one round; texts compared with one pivot in one task.
-_PIVOTS, _SALT_ROWS = 16, 2048
+SKETCHED = "doc_id long, n_shingles long, print0 long, print1 long, bands array<long>, sketch binary"
+#: Members of a block of a bucket (sketches) and of a loose component (texts); two blocks meet in a task.
+_SKETCH_BLOCK, _TEXT_BLOCK = 2048, 256
 
 
 def sketched(docs: DataFrame, width: int, size: int, rows: int) -> DataFrame:
-    """Size, 128-bit fingerprint and band keys of each document's set."""
+    """Size, 128-bit fingerprint, band keys and one byte of each sketch coordinate of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, groups in sets(batch.column(1), width):
                 full = [g for g in groups if len(g)]
-                keys = iter(band_keys(sketches(full, size), rows)) if full else iter(())
+                made = sketches(full, size) if full else np.empty((0, size), np.uint64)
+                keys, low = iter(band_keys(made, rows)), iter((made & np.uint64(0xFF)).astype(np.uint8))
                 prints = [np.frombuffer(xxhash.xxh3_128_digest(g.tobytes()), np.int64).tolist() if len(g) else [None, None] for g in groups]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -52,119 +54,184 @@ def sketched(docs: DataFrame, width: int, size: int, rows: int) -> DataFrame:
                         pa.array([p[0] for p in prints], pa.int64()),
                         pa.array([p[1] for p in prints], pa.int64()),
                         pa.array([next(keys) if len(g) else None for g in groups], pa.list_(pa.int64())),
+                        pa.array([next(low).tobytes() if len(g) else None for g in groups], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "print0", "print1", "bands"],
+                    names=["doc_id", "n_shingles", "print0", "print1", "bands", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCHED)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (pivot, doc) whose sets are similar enough.
+def least_agreement(percent: int, size: int) -> float:
+    """Share of equal sketch bytes below which a pair at the threshold practically never falls (5.4 deviations)."""
+    j = percent / 100
+    p = j + (1 - j) / 256
+    return p - 5.4 * (p * (1 - p) / size) ** 0.5
+
+
+def in_block_pairs(rows: DataFrame, group: str, n: str, member: str, block: int) -> DataFrame:
+    """``rows`` with block pairs (b0 <= b1): a group of up to ``block`` members is one pair, a larger one all pairs of its blocks."""
+    blocks = (F.floor((F.col(n) - 1) / block) + 1).cast("int")
+    own = F.pmod(F.xxhash64(group, member), blocks).cast("int")
+    out = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumn("b0", F.least("_own", "_other")).withColumn("b1", F.greatest("_own", "_other")).drop("_own", "_other")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of each run of equal values in the first ``keys`` columns, over sorted batches."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(n, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), n]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            key = tuple(c[lo] for c in columns)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["pivot", "doc"])
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that span the components of a graph; ``near(i, rest)`` says which of ``rest`` adjoin ``i``."""
+    rest, edges = np.arange(n), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = near(i, rest)
+            found = rest[hit]
+            edges += [(i, int(j)) for j in found]
+            queue += found.tolist()
+            rest = rest[~hit]
+    return edges
+
+
+def loose_links(buckets: DataFrame, percent: int, agreement: float) -> DataFrame:
+    """Forests of the pairs in a bucket that sizes and sketches allow. ``buckets``: key, id, n, members, sketch."""
+    rows = in_block_pairs(buckets, "key", "members", "id", _SKETCH_BLOCK).select("key", "b0", "b1", "id", "n", "sketch")
+    rows = rows.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1", "id")
 
-    A pivot's text comes before the texts that it is compared with; a pivot with many is repeated
-    for each portion of them. Portions stream through a task, which holds one pivot's set.
-    """
-    salts = pairs.groupBy("pivot").agg((F.floor((F.count(F.lit(1)) - 1) / _SALT_ROWS) + 1).cast("int").alias("salts"))
-    asked = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc", F.lit(1).alias("role"))
-    heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("doc"), F.lit(0).alias("role"))
-    rows = asked.unionByName(heads).join(texts, F.col("doc") == F.col("id")).select("pivot", "salt", "role", "doc", "text")
-    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "doc")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, np.empty(0, np.uint64)
-        for batch in batches:
-            pivots, role, docs = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            out: tuple[list, list] = ([], [])
-            for lo, groups in sets(batch.column(4), width):
-                for i, other in enumerate(groups, lo):
-                    if role[i] == 0:
-                        head, own = pivots[i], other
-                        continue
-                    a, b = len(own), len(other)
-                    if head != pivots[i] or 100 * min(a, b) < percent * max(a, b):
-                        continue
-                    both = np.concatenate([own, other])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for table in by_group(batches, 3):
+            ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+            made = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            least = agreement * made.shape[1]
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                fits = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+                fits[fits] = np.count_nonzero(made[rest[fits]] == made[i], axis=1) >= least
+                return fits
+
+            out += [(int(ids[a]), int(ids[b])) for a, b in forest(len(ids), near)]
+            if len(out) > 50_000:
+                yield _pairs_out(out)
+                out = []
+        yield _pairs_out(out)
+
+    return rows.mapInArrow(run, "pivot long, doc long")
+
+
+def exact_links(members: DataFrame, texts: DataFrame, width: int, percent: int, size: int, agreement: float) -> DataFrame:
+    """Links that span the components of the exact graph. ``members``: comp, id, members (the component's size)."""
+    rows = in_block_pairs(members, "comp", "members", "id", _TEXT_BLOCK).join(texts, "id").select("comp", "b0", "b1", "id", "text")
+    rows = rows.repartition("comp", "b0", "b1").sortWithinPartitions("comp", "b0", "b1", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for table in by_group(batches, 3):
+            ids, group = table["id"].to_pylist(), [g for _, part in sets(table["text"], width) for g in part]
+            n = np.array([len(g) for g in group])
+            made = sketches(group, size)
+            root = list(range(len(ids)))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            pairs = []
+            for i in range(len(ids) - 1):
+                rest = np.arange(i + 1, len(ids))
+                rest = rest[100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])]
+                same = np.count_nonzero(made[rest] == made[i], axis=1)
+                pairs += [(-s, i, int(j)) for s, j in zip(same.tolist(), rest) if s >= (agreement - 1 / 256) * size]
+            for _, i, j in sorted(pairs):
+                a, b = find(i), find(j)
+                if a != b:
+                    both = np.concatenate([group[i], group[j]])
                     both.sort()
                     shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * shared >= percent * (a + b - shared):
-                        out[0].append(pivots[i])
-                        out[1].append(docs[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["pivot", "doc"])
+                    if 100 * shared >= percent * (len(both) - shared):
+                        root[max(a, b)] = min(a, b)
+                        out.append((ids[i], ids[j]))
+        yield _pairs_out(out)
 
-    return rows.mapInArrow(compare, "pivot long, doc long")
+    return rows.mapInArrow(run, "pivot long, doc long")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (id, comp) after joining the components that ``links`` (pivot, doc) connect.
+def merged(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of ``ids``: the smallest id that ``links`` (pivot, doc) reach.
 
-    Each component hooks onto its smallest neighbour if that is smaller, and the graph between
-    components is contracted, until no edge is left. The smallest id of a component always stays.
+    Each vertex hooks onto its smallest neighbour if that is smaller, and the graph is contracted,
+    until no edge is left. The smallest id of a component always stays.
     """
-    end = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    edges = links.join(end("pivot"), "pivot").join(end("doc"), "doc").select(F.col("pivot_comp").alias("a"), F.col("doc_comp").alias("b"))
+    labels = ids.select("id", F.col("id").alias("comp"))
+    edges = links.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
     for k in range(1000):
         edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"edges{k}")
         if edges.isEmpty():
-            return labels
+            return written(labels, "labels")
         hook = written(edges.groupBy("a").agg(F.min("b").alias("to")), f"hook{k}")
-        labels = written(labels.join(hook, labels["comp"] == hook["a"], "left").select("id", F.coalesce("to", "comp").alias("comp")), f"labels{k}")
+        labels = labels.join(hook, labels["comp"] == hook["a"], "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        if k % 4 == 3:
+            labels = written(labels, f"labels{k}")
         to = lambda c: hook.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to"))
-        edges = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+        edges = edges.join(to("a"), "a").join(to("b"), "b", "left").select(F.col("a_to").alias("a"), F.coalesce("b_to", "b").alias("b"))
     raise AssertionError("contraction didn't end")
 
 
-def unsettled_pairs(buckets: DataFrame, labels: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (pivot, doc) for the next round, and the bucket members (key, id) that it compares.
-
-    In each bucket with several components, up to _PIVOTS members outside the largest component that
-    weren't compared yet, each with all members of other components.
-    """
-    members = buckets.join(labels, "id")
-    if done is not None:
-        members = members.join(done.withColumn("done", F.lit(True)), ["key", "id"], "left")
-    else:
-        members = members.withColumn("done", F.lit(None).cast("boolean"))
-    parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    heads = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("top"))
-    members = written(members.join(heads, "key"), "unsettled")
-    order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    pivots = members.filter((F.col("comp") != F.col("top")) & F.col("done").isNull()).withColumn("order", order).filter(F.col("order") <= _PIVOTS)
-    pivots = written(pivots.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivots")
-    pairs = pivots.join(members, "key").filter(F.col("comp") != F.col("pivot_comp"))
-    pairs = pairs.select(F.least("pivot", "id").alias("pivot"), F.greatest("pivot", "id").alias("doc")).distinct()
-    return pairs, pivots.select("key", F.col("pivot").alias("id"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, size: int = 128, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, size: int = 256, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, for each row.
 
     Documents link where 100 * intersection >= ``percent`` * union of their sets.
     """
+    agreement = least_agreement(percent, size)
     all_ = written(sketched(docs, width, size, rows), "sketched")
     some = all_.filter(F.col("print0").isNotNull() & F.col("doc_id").isNotNull())
     classes = some.groupBy("print0", "print1").agg(F.min("doc_id").alias("rep"))
-    grouped = written(some.join(classes, ["print0", "print1"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
-    keyed = grouped.filter(F.col("bands").isNotNull()).select(F.col("rep").alias("id"), F.explode("bands").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    buckets = written(keyed.join(shared, "key").select("key", "id", "least").distinct(), "buckets")
-
-    ids = written(buckets.select("id").distinct(), "candidates")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    labels = ids.select("id", F.col("id").alias("comp"))
-
-    stars = buckets.filter("id <> least").select(F.col("least").alias("pivot"), F.col("id").alias("doc")).distinct()
-    labels = merged(labels, written(linked(written(stars, "stars"), texts, width, percent), "links"))
-    compared = written(stars, "compared")
-    done = buckets.filter("id = least").select("key", "id")
-    while True:
-        pairs, now = unsettled_pairs(buckets.select("key", "id"), labels, done)
-        if now.isEmpty():
-            break
-        pairs = written(pairs.join(compared, ["pivot", "doc"], "left_anti"), "pairs")
-        links = written(linked(pairs, texts, width, percent), "links")
-        labels = merged(labels, links)
-        compared, done = compared.unionByName(pairs), done.unionByName(now)
+    slim = some.select("doc_id", "n_shingles", "print0", "print1").join(classes, ["print0", "print1"])
+    grouped = written(slim.select("doc_id", "rep", F.col("n_shingles").alias("n")), "classes")
+    reps = grouped.filter("doc_id = rep").select(F.col("rep").alias("id")).distinct()
+
+    keyed = some.select(F.col("doc_id").alias("id"), "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "members")
+    entries = written(keyed.join(shared, "key"), "buckets")
+    made = some.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    ids = entries.select("id").distinct()
+    made = written(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    loose = merged(made.select("id"), loose_links(entries.join(made, "id"), percent, agreement))
+
+    sizes = loose.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = written(loose.join(sizes, "comp"), "loose")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(members.select("id"), "id", "left_semi")
+    texts = written(texts.dropDuplicates(["id"]), "texts")
+    labels = merged(members.select("id"), exact_links(members, texts, width, percent, size, agreement))
 
     same_id = grouped.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = same_id.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("found"))
