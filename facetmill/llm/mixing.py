@@ -89,10 +89,31 @@ def solve_dual(counts: DataFrame, sources: DataFrame, cap: float, steps: int = 4
     return state.select("source_key", "source_size", "target", "stops", "mean", F.round("multiplier", 7).alias("multiplier"))
 
 
+def source_key(source: Column) -> Column:
+    """Sorts as sources do, by code point and null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def drawn(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def copied(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` in as many copies as ``mixed`` (from ``mix_sources``) gives them."""
+    keys = ["doc_key", "draw", "source_key"]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc_key")
+    times = mixed.filter("copies > 0").groupBy(key, "draw", "source_key").agg(F.sum("copies").cast("int").alias("times"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(key, drawn(docs).alias("draw"), source_key(docs["source"]).alias("source_key"), row).dropDuplicates(keys)
+    return rows.join(times, keys).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies and taken (copies times size) of each document."""
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("source_key"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("draw"))
+    """doc_id, size, source_size, target, rate, copies and taken (copies times size) of each document.
+
+    Also ``source_key`` and ``draw``, which with doc_id tell rows apart unless they repeat each other.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_key(docs["source"]).alias("source_key"), n_words(docs["text"].cast("string")).alias("size"), drawn(docs).alias("draw"))
     rows = written(rows, "sizes")
     counts = written(rows.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     sizes = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -117,7 +138,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     edge = bins.withColumn("before", before).filter((F.col("before") < F.col("missing")) & (F.col("missing") <= F.col("before") + F.col("in_bin"))).select("source_key", F.col("bin").alias("edge"), "before")
     edge = written(edge, "edge")
     placed = ranked.join(edge, "source_key", "left").withColumn("side", F.when(F.col("edge").isNull(), F.when(F.col("missing") > 0, F.lit(-1)).otherwise(F.lit(1))).otherwise(F.signum(F.col("bin") - F.col("edge")).cast("int")))
-    columns = ["doc_id", "size", "source_size", "target", "rate"]
+    columns = ["doc_id", "source_key", "draw", "size", "source_size", "target", "rate"]
     one = F.when((F.col("side") < 0) & (F.col("bin") < _BINS), 1).otherwise(0)
     clear = placed.filter(F.col("side") != 0).select(*columns, (whole() + one).alias("copies"))
     within = Window.partitionBy("source_key").orderBy("priority", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
