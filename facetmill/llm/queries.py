@@ -94,3 +94,31 @@ def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     blocks = write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), False, 1, 49_408)
     return read_ids(blocks)
+
+
+@query
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train_on
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_on(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "p_toxic", "severity", "grade", F.col("rejected").alias("toxic"))
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, train
+
+    return find(table(spark, sf_dir, "documents"), train())
+
+
+@query
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts as recordings: their UTF-8 bytes are 8-bit samples."""
+    from .chroma import align, fingerprint_table
+    from .shared import written
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = written(fingerprint_table(docs, F.col("text").cast("string").cast("binary"), "doc_id"), "prints")
+    rows = prints.select(F.col("rec_id").alias("doc_id"), "seconds", F.size("numbers").alias("n_numbers"), "numbers_crc32")
+    return rows.join(align(prints).withColumnRenamed("rec_id", "doc_id"), "doc_id", "left")
