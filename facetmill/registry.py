@@ -1,6 +1,8 @@
-"""Queries over the driver's tables, one for each operator, with their DuckDB SQL."""
+"""All queries of the library over the driver's tables, one or more for each operator, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import records, text  # noqa: F401 - importing registers
+from .queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
