@@ -126,10 +126,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     sources = written(sources.join(certain, "source_key").withColumn("missing", F.when(F.col("stops"), F.lit(0.0)).otherwise(F.col("target") - F.col("certain"))), "sources")
 
     part = F.col("rate") - F.floor("rate")
-    drawn = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
-    # Pareto order sampling: the odds of the draw by the odds of the rate's fraction, mapped to 0..1.
-    odds = drawn * (F.lit(1.0) - part)
-    priority = F.when(part > 0, odds / (odds + part * (F.lit(1.0) - drawn))).otherwise(F.lit(1.0))
+    uniform = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
+    # Pareto order sampling: the odds of a uniform number by the odds of the rate's fraction, mapped to 0..1.
+    odds = uniform * (F.lit(1.0) - part)
+    priority = F.when(part > 0, odds / (odds + part * (F.lit(1.0) - uniform))).otherwise(F.lit(1.0))
     ranked = rows.join(sources, "source_key").withColumn("rate", rate).withColumn("priority", priority)
     ranked = ranked.withColumn("bin", F.least(F.floor(F.col("priority") * _BINS), F.lit(_BINS)).cast("int"))
     # The bin in which a source reaches its target, and its words before that bin.

@@ -100,9 +100,8 @@ def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train_on
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train_on(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", "p_toxic", "severity", "grade", F.col("rejected").alias("toxic"))
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train_on(docs, table(spark, sf_dir, "labels")), "doc_id").withColumnRenamed("rejected", "toxic")
 
 
 @query

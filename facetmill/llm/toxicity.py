@@ -7,12 +7,13 @@ these probabilities. A cut on P(grade >= 1), chosen on held-out documents, rejec
 
 The model is fitted on the driver from at most LABELLED labelled documents (those with the smallest
 hashes of their ids). Labels may hold grades; where they only say toxic or not, toxic documents get
-grades 1 to 3 by the share of their words that toxic documents use far more often than others.
+grades 1 to 3 by how much they hold of the features that toxic documents have far more often than others.
 
 Edge cases: null text has no features; rows with null label, and documents without text, don't
 train; several labels of a document count as its largest; without documents of both kinds every
 document has severity 0 and none is rejected; repeated rows are scored alike; an empty table gives
-an empty table; other columns pass through ``score`` untouched.
+an empty table; other columns are kept by
+``without_rejected``, whatever their names, and ignored by ``score``.
 """
 
 from __future__ import annotations
@@ -116,17 +117,11 @@ def choose_features(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[str, int],
     return {names[i]: k for k, i in enumerate(best)}, odds[best]
 
 
-def derived_grades(model: OrdinalModel, odds: np.ndarray, texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
-    """0 for texts that aren't toxic; else 1 to 3 by thirds of the share of strongly associated words."""
-    share = np.zeros(len(texts))
-    for lo, part in _slices(texts):
-        words, code, owner = _coded_words(part)
-        strong = np.array([any(f in model.names and odds[model.names[f]] > 3 for f in _features(w)) for w in words], bool)
-        full = np.array([bool(w) for w in words], bool)
-        hit = np.bincount(owner, weights=strong[code], minlength=len(part))
-        share[lo : lo + len(part)] = hit / np.maximum(np.bincount(owner, weights=full[code], minlength=len(part)), 1)
-    cuts = np.quantile(share[toxic], [1 / 3, 2 / 3])
-    return np.where(toxic, 1 + np.searchsorted(cuts, share, "left"), 0)
+def derived_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, odds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for texts that aren't toxic; else 1 to 3 by thirds of the summed values of strongly associated features."""
+    mass = np.bincount(rows, weights=values * (odds[cols] > 3), minlength=len(toxic))
+    cuts = np.quantile(mass[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + np.searchsorted(cuts, mass, "left"), 0)
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +166,9 @@ def train(texts: pa.Array, labels: np.ndarray) -> OrdinalModel:
         part, bad = texts.take(pa.array(np.flatnonzero(use))), toxic[use]
         names, odds = choose_features(part, bad)
         model = OrdinalModel(names)
-        grade = labels[use] if labels.max() > 1 else derived_grades(model, odds, part, bad)
         cells = [(lo, model.matrix(x)) for lo, x in _slices(part)]
         rows, cols, values = (np.concatenate(x) for x in zip(*[(lo + a, b, c) for lo, (a, b, c) in cells]))
+        grade = labels[use] if labels.max() > 1 else derived_grades(rows, cols, values, odds, bad)
         model.weights, model.thresholds = fit_ordinal(rows, cols, values, grade.astype(np.int64), len(names))
         return model
 
@@ -205,17 +200,32 @@ def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Or
     return train(got["text"].combine_chunks(), got["label"].to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` with p_toxic (P(grade >= 1)), severity (expected), grade (most thresholds above one half) and rejected."""
-    names = [c for c in docs.columns]
-    at = names.index("text")
-    out = docs.schema.add("p_toxic", "double").add("severity", "double").add("grade", "int").add("rejected", "boolean")
+SCORED = "p_toxic double, severity double, grade int, rejected boolean"
+
+
+def score(docs: DataFrame, model: OrdinalModel, *keep: str) -> DataFrame:
+    """The ``keep`` columns with p_toxic (P(grade >= 1)), severity (expected), grade (thresholds passed above one half) and rejected."""
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at)
-            p = np.concatenate([model.probabilities(x) for _, x in _slices(texts)]) if len(batch) else np.empty((0, len(model.thresholds)))
+            p = _probabilities(model, batch.column(len(keep)))
             more = [pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1), pa.int32()), pa.array(p[:, 0] >= model.cut)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "p_toxic", "severity", "grade", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, "p_toxic", "severity", "grade", "rejected"])
+
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([*kinds, SCORED]))
+
+
+def without_rejected(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(model, batch.column(at).cast(pa.string()))[:, 0] < model.cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    return docs.mapInArrow(run, out)
+def _probabilities(model: OrdinalModel, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([model.probabilities(x) for _, x in _slices(texts)]) if len(texts) else np.empty((0, len(model.thresholds)))
