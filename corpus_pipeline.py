@@ -17,8 +17,7 @@ from facetmill.session import ship_package
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal regression doesn't reject."""
-    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return toxicity.without_rejected(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
