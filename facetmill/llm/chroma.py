@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .worker import lean
 
 RATE, FRAME, HOP = 8000, 512, 128
 LOWEST_HZ, HIGHEST_HZ = 55.0, 3520.0
@@ -38,13 +39,14 @@ FILTERS = [(i % 4, (5 * i) % 12, 4 + 2 * (i // 4 % 2), (2, 4, 6, 8)[(i + i // 4)
 WIDEST = max(w for *_, w in FILTERS)
 #: A filter's logarithm of ratios is cut here into four steps.
 STEP = 0.12
+UNIT = 1 << 12
 _FRAMES_AT_ONCE = 4096
 
 
 def pitch_matrix(rate: int, frame: int) -> np.ndarray:
     """Weight of each spectral bin in each pitch class: shares between the two nearest semitones."""
     hz = np.fft.rfftfreq(frame, 1 / rate)
-    out = np.zeros((len(hz), 12), np.float32)
+    out = np.zeros((len(hz), 12))
     for i in np.flatnonzero((hz >= LOWEST_HZ) & (hz <= HIGHEST_HZ)):
         tone = 12 * np.log2(hz[i] / 440.0)
         low = int(np.floor(tone))
@@ -60,23 +62,26 @@ def samples_of(raw: memoryview | bytes, bits: int) -> np.ndarray:
 
 
 def chroma_frames(samples: np.ndarray, starts: np.ndarray, matrix: np.ndarray, frame: int) -> np.ndarray:
-    """Pitch classes of the frames that begin at ``starts``, each scaled to length 1."""
-    window = np.hanning(frame).astype(np.float32)
-    out = np.empty((len(starts), 12), np.float32)
+    """Pitch classes of the frames that begin at ``starts``, each scaled to length UNIT, as whole numbers.
+
+    Whole numbers have exact sums, so a recording's fingerprint doesn't depend on what it shares a batch with.
+    """
+    window = np.hanning(frame)
+    out = np.empty((len(starts), 12))
     view = np.lib.stride_tricks.sliding_window_view(samples, frame)
     for lo in range(0, len(starts), _FRAMES_AT_ONCE):
         part = view[starts[lo : lo + _FRAMES_AT_ONCE]]
         part = (part - part.mean(axis=1, keepdims=True)) * window
         spectrum = np.fft.rfft(part, axis=1)
-        out[lo : lo + len(part)] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ matrix
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)
+        out[lo : lo + len(part)] = (spectrum.real**2 + spectrum.imag**2) @ matrix
+    return np.rint(out * UNIT / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)).astype(np.int64)
 
 
 def packed_numbers(chroma: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 32-bit number at each frame position; filters span WIDEST frames from there."""
     wide = np.concatenate([chroma, chroma], axis=1)  # pitch classes are a circle
-    integral = np.zeros((len(wide) + 1, 25))
-    np.cumsum(np.cumsum(wide, axis=0, dtype=float), axis=1, out=integral[1:, 1:])
+    integral = np.zeros((len(wide) + 1, 25), np.int64)
+    np.cumsum(np.cumsum(wide, axis=0), axis=1, out=integral[1:, 1:])
 
     def area(t0: np.ndarray, t1: np.ndarray, p0: int, p1: int) -> np.ndarray:
         return integral[t1, p1] - integral[t0, p1] - integral[t1, p0] + integral[t0, p0]
@@ -94,7 +99,7 @@ def packed_numbers(chroma: np.ndarray, at: np.ndarray) -> np.ndarray:
         else:  # a band of pitches against those around it
             inner = area(begin, end, p + h // 4, p + h - h // 4)
             a, b = inner, area(begin, end, p, p + h) - inner
-        value = np.log((1 + a) / (1 + b))
+        value = np.log((UNIT + a) / (UNIT + b))
         step = (value > -STEP).astype(np.uint32) + (value > 0) + (value > STEP)
         out = (out << np.uint32(2)) | (step ^ (step >> np.uint32(1)))
     return out
@@ -159,7 +164,7 @@ def fingerprint_table(rows: DataFrame, media: Column, id_col: str, bits: int = 8
                 )
                 lo = hi
 
-    return rows.select(F.col(id_col).cast("long"), media.cast("binary")).mapInArrow(run, schema)
+    return rows.select(F.col(id_col).cast("long"), media.cast("binary")).mapInArrow(lean(run), schema)
 
 
 def align(prints: DataFrame) -> DataFrame:
