@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
+from .worker import lean
 
 #: Bounds of what is fitted on the driver: vectors of the sample, parts, neighbours in the graph.
 SAMPLE, MOST_PARTS, DEGREE = 8192, 64, 10
@@ -225,7 +226,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             part = router.logits(_matrix(batch.column(1), d)).argmax(axis=1) if len(batch) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.int32())], names=["vec_id", "vector", "part"])
 
-    indexed = written(vectors.mapInArrow(index, "vec_id long, vector array<double>, part int"), "indexed")
+    indexed = written(vectors.mapInArrow(lean(index), "vec_id long, vector array<double>, part int"), "indexed")
     held = np.zeros(parts, np.int64)
     for part, many in indexed.groupBy("part").count().collect():  # at most MOST_PARTS rows
         held[part] = many
@@ -245,7 +246,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(part, pa.int32())], names=["query_id", "query", "part"])
 
     queries = vectors.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"))
-    routed = queries.mapInArrow(route, "query_id long, query array<double>, part int")
+    routed = queries.mapInArrow(lean(route), "query_id long, query array<double>, part int")
     # A part with many vectors is searched in chunks, each by all queries that come to the part.
     chunks = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // _CHUNK))) for n in held]), F.col("part") + 1)
     routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .shingles import band_keys, sets, sketches
+from .worker import lean
 
 SKETCHED = "doc_id long, n_shingles long, print0 long, print1 long, bands array<long>, sketch binary"
 #: Members of a block of a bucket (sketches) and of a loose component (texts); two blocks meet in a task.
@@ -59,7 +60,7 @@ def sketched(docs: DataFrame, width: int, size: int, rows: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "print0", "print1", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCHED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SKETCHED)
 
 
 def least_agreement(percent: int, size: int) -> float:
@@ -143,7 +144,7 @@ def loose_links(buckets: DataFrame, percent: int, agreement: float) -> DataFrame
                 out = []
         yield _pairs_out(out)
 
-    return rows.mapInArrow(run, "pivot long, doc long")
+    return rows.mapInArrow(lean(run), "pivot long, doc long")
 
 
 def exact_links(members: DataFrame, texts: DataFrame, width: int, percent: int, size: int, agreement: float) -> DataFrame:
@@ -182,7 +183,7 @@ def exact_links(members: DataFrame, texts: DataFrame, width: int, percent: int,
                         out.append((ids[i], ids[j]))
         yield _pairs_out(out)
 
-    return rows.mapInArrow(run, "pivot long, doc long")
+    return rows.mapInArrow(lean(run), "pivot long, doc long")
 
 
 def merged(ids: DataFrame, links: DataFrame) -> DataFrame:

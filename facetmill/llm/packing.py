@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .pieces import encoder, with_end
 from .shared import written
+from .worker import lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part int, sequence long, offset long, filled long"
@@ -57,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(pieces), PIECES)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

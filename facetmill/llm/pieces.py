@@ -17,9 +17,13 @@ import pyarrow.compute as pc
 #: White space in the sense of any of the libraries, as an RE2 class.
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space beside a space or line end, or at either end of the text: the pieces there aren't independent.
-_TIGHT = rf"(?:[ \n]{_SPACE}|{_SPACE}[ \n]|^{_SPACE}|{_SPACE}$)"
+_TIGHT = rf"(?:[ \n]{_SPACE}|{_SPACE}[ \n]|^{_SPACE}|{_SPACE}$|\x02)"
+#: A full stop or comma after anything but a Latin-1 letter or a digit: punctuation may run on into it.
+_RUN = r"[^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff} ][.,] "
+#: Marks a full stop or comma that no space stands before.
+_JOINED = "\x02"
 #: Text that is cut up at once, and pieces that are remembered.
-_SLICE_BYTES, _REMEMBER = 16 << 20, 1_500_000
+_SLICE_BYTES, _REMEMBER = 6 << 20, 500_000
 _MARK = "\x1e"
 
 
@@ -98,17 +102,20 @@ class PieceEncoder:
     def _plainer(texts: pa.Array) -> pa.Array:
         """Texts with the same ids, and fewer distinct pieces, for a vocabulary without case and white space.
 
-        A full stop or comma between a word and white space is a piece of its own. Words end in Latin-1
-        letters or digits here: after other characters, which may be punctuation or become a letter
-        and a mark in lower case, the text stays as it is.
+        A full stop or comma between a word and white space is a piece of its own. After characters
+        that may be punctuation, or become a letter and a mark in lower case, the text stays as it is.
         """
         texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
-        apart = pc.replace_substring(pc.replace_substring(texts, ". ", " . "), ", ", " , ")
-        return pc.if_else(pc.match_substring_regex(texts, r"[^a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff} ][.,] "), texts, apart)
+        return PieceEncoder._parted(texts, "")
+
+    @staticmethod
+    def _parted(texts: pa.Array, mark: str) -> pa.Array:
+        apart = pc.replace_substring(pc.replace_substring(texts, ". ", f" {mark}. "), ", ", f" {mark}, ")
+        return pc.if_else(pc.match_substring_regex(texts, _RUN), texts, apart)
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose pieces are independent, and how many each has."""
-        spaced = pc.replace_substring(texts, "\n", " \n ") if self.keeps_space else self._plainer(texts)
+        spaced = self._parted(pc.replace_substring(texts, "\n", " \n "), _JOINED) if self.keeps_space else self._plainer(texts)
         lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
@@ -123,7 +130,8 @@ class PieceEncoder:
             present[code] = True
             used = np.flatnonzero(present)
             entry = np.zeros(2 * len(words), np.int32)
-            entry[used] = self._entries([words[i >> 1] if i & 1 else " " + words[i >> 1] for i in used.tolist()])
+            known = [(words[i >> 1], i & 1) for i in used.tolist()]
+            entry[used] = self._entries([w[1:] if w[:1] == _JOINED else w if alone else " " + w for w, alone in known])
         else:
             entry = self._entries(words)
         at = entry[code]

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import lean
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -319,7 +321,7 @@ def find(docs: DataFrame, models: dict[str, Boosted]) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -343,4 +345,4 @@ def redact(docs: DataFrame, models: dict[str, Boosted], text_col: str = "text")
             fixed = pc.coalesce(pa.array(new, texts.type), texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], fixed, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,13 +35,26 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; the file system removes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    own = f"{shared_folder(spark)}/facetmill/{app}"
+    if own not in _MADE:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _MADE.add(own)
+    return own
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     This cuts the lineage: a lost executor costs a read, not the work before it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/facetmill/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

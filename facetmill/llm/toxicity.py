@@ -24,13 +24,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import lean, release
+
 #: Bounds of the training set and of the model.
-LABELLED, FEATURES = 16_000, 4096
-_PREFIXES = (4, 5, 6)
-_SLICE_BYTES = 8 << 20
+LABELLED, FEATURES = 12_000, 4096
+_PREFIXES, _SLOTS = (4, 5, 6), 1 << 22
+_SLICE_BYTES = 2 << 20
 
 
 def _coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 @dataclass
 class OrdinalModel:
-    """Numbers of features, their weights, the thresholds, and the cut on P(grade >= 1)."""
+    """Numbers of features by name, their weights, the thresholds, and the cut on P(grade >= 1)."""
 
     names: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
@@ -77,8 +80,9 @@ class OrdinalModel:
         at = np.flatnonzero(many[code] > 0) if len(code) else np.empty(0, np.int64)
         n = many[code[at]]
         feature = flat[np.repeat(first[code[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(at) else np.empty(0, np.int64)
-        cell, count = np.unique(np.repeat(owner[at], n) * max(len(self.names), 1) + feature, return_counts=True)
-        return cell // max(len(self.names), 1), cell % max(len(self.names), 1), np.log1p(count)
+        stride = max(len(self.weights), 1)
+        cell, count = np.unique(np.repeat(owner[at], n) * stride + feature, return_counts=True)
+        return cell // stride, cell % stride, np.log1p(count)
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) of each text for each k."""
@@ -91,30 +95,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Counting slot, word and name of each feature of some words."""
+    names = [_features(w) for w in words]
+    flat = [f for own in names for f in own]
+    slots = np.fromiter((xxhash.xxh3_64_intdigest(f) & (_SLOTS - 1) for f in flat), np.int64, len(flat))
+    return slots, np.repeat(np.arange(len(words)), [len(own) for own in names]), flat
+
+
 def choose_features(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """The features most associated with toxic texts, by their log-likelihood ratio, and each one's log odds ratio."""
-    count: dict[str, list[int]] = {}
+    """Numbers of the features most associated with toxic texts, by log-likelihood ratio, and the log odds ratio of each number.
+
+    Features are counted in hash slots, so memory is bounded; names that share a chosen slot share a number.
+    """
+    n = np.zeros((2, _SLOTS), np.float32)
     for lo, part in _slices(texts):
         words, code, owner = _coded_words(part)
-        cell = np.unique(owner.astype(np.int64) * len(words) + code)
+        cell = np.unique(owner.astype(np.int64) * max(len(words), 1) + code)
         bad = toxic[lo + cell // max(len(words), 1)]
-        by_word = [np.bincount(cell[bad == b] % max(len(words), 1), minlength=len(words)) for b in (False, True)]
-        for word, n0, n1 in zip(words, by_word[0].tolist(), by_word[1].tolist()):
-            for f in _features(word):
-                got = count.setdefault(f, [0, 0])
-                got[0] += n0
-                got[1] += n1
-    names = list(count)
-    n = np.array(list(count.values()), float).reshape(-1, 2)
+        slots, word, _ = _slots(words)
+        for k in (0, 1):
+            by_word = np.bincount(cell[bad == bool(k)] % max(len(words), 1), minlength=len(words))
+            n[k] += np.bincount(slots, weights=by_word[word], minlength=_SLOTS).astype(np.float32)
     total = np.array([(~toxic).sum(), toxic.sum()], float)
-    n = np.minimum(n, total)
-    odds = np.log((n[:, 1] + 0.5) / (total[1] - n[:, 1] + 0.5)) - np.log((n[:, 0] + 0.5) / (total[0] - n[:, 0] + 0.5))
-    cells = np.stack([n, total - n], 2)
-    expected = cells.sum(2, keepdims=True) * 0 + cells.sum(1, keepdims=True) * (total / total.sum())[None, :, None]
+    may = np.flatnonzero(n[1] >= max(4, 0.002 * total[1]))
+    seen = np.minimum(n[:, may].T.astype(float), total)
+    odds = np.log((seen[:, 1] + 0.5) / (total[1] - seen[:, 1] + 0.5)) - np.log((seen[:, 0] + 0.5) / (total[0] - seen[:, 0] + 0.5))
+    cells = np.stack([seen, total - seen], 2)
+    expected = cells.sum(1, keepdims=True) * (total / total.sum())[None, :, None]
     ratio = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0).sum((1, 2))
-    good = np.flatnonzero((odds > 2) & (n[:, 1] >= max(4, 0.002 * total[1])) & (ratio > 15))
-    best = sorted(good.tolist(), key=lambda i: (-ratio[i], names[i]))[:FEATURES]
-    return {names[i]: k for k, i in enumerate(best)}, odds[best]
+    good = np.flatnonzero((odds > 2) & (ratio > 15))
+    best = good[np.lexsort((may[good], -ratio[good]))[:FEATURES]]
+    number = np.full(_SLOTS, -1, np.int32)
+    number[may[best]] = np.arange(len(best))
+    names: dict[str, int] = {}
+    for _, part in _slices(texts):
+        slots, _, flat = _slots(_coded_words(part)[0])
+        chosen = number[slots]
+        names.update((flat[i], int(chosen[i])) for i in np.flatnonzero(chosen >= 0).tolist())
+    return names, odds[best]
 
 
 def derived_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, odds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -165,11 +184,11 @@ def train(texts: pa.Array, labels: np.ndarray) -> OrdinalModel:
     def fitted(use: np.ndarray) -> OrdinalModel:
         part, bad = texts.take(pa.array(np.flatnonzero(use))), toxic[use]
         names, odds = choose_features(part, bad)
-        model = OrdinalModel(names)
+        model = OrdinalModel(names, np.zeros(len(odds)))
         cells = [(lo, model.matrix(x)) for lo, x in _slices(part)]
         rows, cols, values = (np.concatenate(x) for x in zip(*[(lo + a, b, c) for lo, (a, b, c) in cells]))
         grade = labels[use] if labels.max() > 1 else derived_grades(rows, cols, values, odds, bad)
-        model.weights, model.thresholds = fit_ordinal(rows, cols, values, grade.astype(np.int64), len(names))
+        model.weights, model.thresholds = fit_ordinal(rows, cols, values, grade.astype(np.int64), len(odds))
         return model
 
     def first(model: OrdinalModel, part: pa.Array) -> np.ndarray:
@@ -196,8 +215,15 @@ def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Or
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     # At most LABELLED rows of 12 bytes are broadcast.
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(got["text"].combine_chunks(), got["label"].to_numpy().astype(np.int64))
+    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
+    # One order whatever the partitions, so that the model is the same in every run.
+    order = pc.sort_indices(got.append_column("size", pc.binary_length(got["text"])).select(["doc_id", "size"]), [("doc_id", "ascending"), ("size", "ascending")])
+    texts, labels = got["text"].take(order).combine_chunks(), got["label"].take(order).to_numpy().astype(np.int64)
+    del got
+    release()
+    model = train(texts, labels)
+    release()
+    return model
 
 
 SCORED = "p_toxic double, severity double, grade int, rejected boolean"
@@ -213,7 +239,7 @@ def score(docs: DataFrame, model: OrdinalModel, *keep: str) -> DataFrame:
             more = [pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1), pa.int32()), pa.array(p[:, 0] >= model.cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, "p_toxic", "severity", "grade", "rejected"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([*kinds, SCORED]))
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(lean(run), ", ".join([*kinds, SCORED]))
 
 
 def without_rejected(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -224,7 +250,7 @@ def without_rejected(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_probabilities(model, batch.column(at).cast(pa.string()))[:, 0] < model.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _probabilities(model: OrdinalModel, texts: pa.Array) -> np.ndarray:
