@@ -1,4 +1,7 @@
 import importlib.util
+from types import SimpleNamespace
+
+import pytest
 
 import corpus_pipeline as cp
 from facetmill.llm.shared import shared_folder, step_of
@@ -54,14 +57,18 @@ def test_registered_queries():
     assert importlib.util.find_spec("corpus_pipeline")
 
 
-def test_shared_folder_is_the_sessions_where_set(spark):
-    folder = shared_folder(spark)
-    assert folder == shared_folder(spark) and folder.startswith("file:///")
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/own/")
-    try:
-        assert shared_folder(spark) == "file:///tmp/own"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder():
+    """The session's where set; else a temporary one in local sessions, and an error on clusters."""
+
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"test-{master}"))
+
+    assert shared_folder(session("hdfs://a/b/", "spark://x")) == "hdfs://a/b"
+    own = shared_folder(session(None, "local[2]"))
+    assert own.startswith("file:///") and own == shared_folder(session(None, "local[2]"))
+    for master in ("spark://x", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(None, master))
 
 
 def test_steps(spark):
