@@ -18,8 +18,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM_SEPARATORS = r"[\s,，、;；+|/]+"
 MISSING = ("", "-", "--", "—", "–", "/", "\\", "无", "暂无", "空", "n/a", "na", "nan", "none", "null")
 FULLWIDTH_PUNCTUATION = ("，。、；：？！（）【】《》“”‘’·～—", ",.,;:?!()[]<>\"\"''.~-")
-INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f​-‏  ﻿]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200f\u2028\u2029\ufeff]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TYPOS = (
     ("选调牛", "选调生"), ("选调华", "选调生"), ("中央民旋大学", "中央民族大学"), ("民旋大学", "民族大学"), ("民旌大学", "民族大学"),
     ("经验分享佘", "经验分享会"), ("分享佘", "分享会"), ("交流佘", "交流会"), ("座谈佘", "座谈会"), ("共美沙尤", "共美沙龙"),
@@ -149,6 +149,8 @@ def split_lines(x: Column) -> Column:
 
 def clean_lines(text: Column, least: int = 2, spaces: str = "", normalize: bool = True, dedupe: bool = True) -> Column:
     """Lines of a text: normalised, up to the first footer line, without noise, short and repeated lines."""
+    # Line ends first: some of them count as invisible characters in a line.
+    text = F.regexp_replace(text, LINE_END, "\n")
     lines = F.transform(split_lines(normalize_text(text) if normalize else text), lambda x: F.trim(F.regexp_replace(collapse_repeats(x), r"(?U)[　\s]+", spaces)))
     lines = F.filter(lines, lambda x: x != "")
     footer = F.transform(lines, is_footer)

@@ -336,7 +336,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{base}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
     schema = table(spark, sf_dir, "events").schema.simpleString()[len("struct<") : -1]
     for _ in range(2):
-        stream = file_stream(spark, f"{sf_dir}/events.parquet", schema.replace(":", " "), "parquet")
+        stream = file_stream(spark, f"{sf_dir}/events.parque[t]", schema.replace(":", " "), "parquet")  # a pattern: the table is a file or a folder
         load_available(first_occurrences(stream.select("user_id", "event_type"), ["user_id", "event_type"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
