@@ -33,7 +33,8 @@ from .worker import lean, release
 #: Bounds of the training set and of the model.
 LABELLED, FEATURES = 12_000, 4096
 _PREFIXES, _SLOTS = (4, 5, 6), 1 << 22
-_SLICE_BYTES = 2 << 20
+#: Text whose words are numbered at once: on the driver, and in workers.
+_SLICE_BYTES, _SCORE_BYTES = 2 << 20, 8 << 20
 
 
 def _coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -49,14 +50,14 @@ def _features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}~" for n in _PREFIXES if len(word) >= n]] if word else []
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def _slices(texts: pa.Array, at_once: int = _SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + at_once, "right")))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
 
@@ -254,4 +255,4 @@ def without_rejected(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def _probabilities(model: OrdinalModel, texts: pa.Array) -> np.ndarray:
-    return np.concatenate([model.probabilities(x) for _, x in _slices(texts)]) if len(texts) else np.empty((0, len(model.thresholds)))
+    return np.concatenate([model.probabilities(x) for _, x in _slices(texts, _SCORE_BYTES)]) if len(texts) else np.empty((0, len(model.thresholds)))
