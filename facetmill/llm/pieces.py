@@ -23,7 +23,8 @@ _RUN = r"[^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff} ][.,] "
 #: Marks a full stop or comma that no space stands before.
 _JOINED = "\x02"
 #: Text that is cut up at once, and pieces that are remembered.
-_SLICE_BYTES, _REMEMBER = 6 << 20, 500_000
+#: in memory that is shared with other stages, and where an encoder has the worker for itself.
+_SMALL, _ROOMY = (6 << 20, 500_000), (16 << 20, 1_500_000)
 _MARK = "\x1e"
 
 
@@ -34,7 +35,8 @@ class PieceEncoder:
     vocabulary encodes white space (byte level) or drops it (word ends).
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, roomy: bool = False):
+        self.slice_bytes, self.remember = _ROOMY if roomy else _SMALL
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,9 +152,9 @@ class PieceEncoder:
         lo = 0
         while lo < len(texts):
             base = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, base + _SLICE_BYTES, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(size, base + self.slice_bytes, side="right")))
             part = texts.slice(lo, hi - lo)
-            if len(self.known) > _REMEMBER:
+            if len(self.known) > self.remember:
                 self._forget()
             empty = pc.equal(pc.binary_length(part), 0)
             odd = pc.or_(empty, pc.match_substring_regex(part, _TIGHT)) if self.keeps_space else empty
@@ -176,14 +178,15 @@ class PieceEncoder:
             lo = hi
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, roomy: bool = False) -> PieceEncoder:
     """One encoder for each vocabulary in a Python worker."""
-    if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+    key = (path, keeps_space, roomy)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

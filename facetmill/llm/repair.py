@@ -177,7 +177,7 @@ def write_ids(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, v
     """Blocks of all documents, in ascending doc_id order by shard and block, as a written table."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block = encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0
+        enc, shard, block = encoder(tokenizer, keeps_space, roomy=True), TaskContext.get().partitionId(), 0
         names: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -212,7 +212,7 @@ def write_ids(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, v
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(ordered.mapInArrow(lean(encode), BLOCK), "blocks")
+    return written(ordered.mapInArrow(lean(encode, tuned=False), BLOCK), "blocks")
 
 
 def read_ids(blocks: DataFrame) -> DataFrame:
@@ -238,5 +238,5 @@ def read_ids(blocks: DataFrame) -> DataFrame:
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("in_shard")).withColumn("before", F.coalesce(F.sum("in_shard").over(earlier(Window.orderBy("shard"))), F.lit(0)))
     inner = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("shard").orderBy("block"))), F.lit(0))
     base = sizes.withColumn("inner", inner).join(shards, "shard").select("shard", "block", (F.col("before") + F.col("inner")).alias("base"))
-    rows = blocks.select("shard", "block", "payload").mapInArrow(lean(decode), DECODED)
+    rows = blocks.select("shard", "block", "payload").mapInArrow(lean(decode, tuned=False), DECODED)
     return rows.join(base, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -15,13 +15,18 @@ _MMAP_THRESHOLD = -3  # M_MMAP_THRESHOLD of mallopt
 @cache
 def _libc() -> ctypes.CDLL | None:
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
-        return libc
-    except (OSError, AttributeError):
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
         return None  # another C library: nothing to tune
 
 
+@cache
+def _tuned() -> None:
+    libc = _libc()
+    if libc is not None:
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+
+
 def release() -> None:
     """Returns freed memory to the system."""
     gc.collect()
@@ -31,12 +36,17 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that keeps its worker small."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tuned: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that returns its worker's memory when it ends.
+
+    Tuned, it also returns large blocks meanwhile. That costs a page fault for each page of them, so
+    a function that makes many large arrays is better off without.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _libc()
-        pa.set_memory_pool(pa.system_memory_pool())
+        if tuned:
+            _tuned()
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
