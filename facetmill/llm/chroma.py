@@ -5,17 +5,21 @@ and scaled. Sixteen filters compare sums of rectangles in the image of pitch cla
 which an integral image gives in four reads each; each result becomes two bits (a Gray code), so a
 position has a packed 32-bit number.
 
-For alignment every distinct number has a first recording: the one with the smallest id that holds
-it, at its first position. A recording's positions vote for offsets against first recordings of
-their numbers (its own numbers don't vote); the offset with most votes wins, ties going to the
-smaller id, then the smaller offset. The share of differing bits over the overlap tells how well
-the two agree. A number that a third of all recordings share costs one vote for each of its
-positions, never a pair of them.
+For alignment a recording's positions vote for (recording, offset) over all recordings with a smaller
+id and all positions there that hold their numbers; most votes win, ties going to the smaller id, then
+the smaller offset. So each pair is compared once, for its larger id. The share of differing bits over
+the overlap tells how well the two agree. The result is that of trying every pair and offset, by these
+steps: recordings with the same numbers are one class; votes for the first holders of numbers are a
+lower bound of a recording's most votes; to reach the bound it must share one of its rarer numbers,
+since the skipped common ones give fewer votes than that; what shares one is counted in full. A single
+vote needs no pairs, as the first holder decides it. So a number that a third of all recordings share
+once makes no pairs. Many different recordings that share several common numbers, and no first holder
+that bounds them better, remain quadratic in their number.
 
 Media is raw PCM: unsigned 8-bit or little-endian signed 16-bit, one channel. Edge cases: null or
 empty media has no fingerprint and no alignment; media shorter than a frame is padded with silence;
 media with fewer frames than the widest filter repeats its last frame; rows with one id are
-fingerprinted one by one and vote as one recording; a null id doesn't take part in alignment; an
+fingerprinted one by one and vote as one recording, a number that several hold at one position once; a null id doesn't take part in alignment; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -41,6 +45,9 @@ WIDEST = max(w for *_, w in FILTERS)
 STEP = 0.12
 UNIT = 1 << 12
 _FRAMES_AT_ONCE = 4096
+#: Holders of a number that meet in one task.
+SLICE = 4096
+BESIDE = ("before", "here", "after")
 
 
 def pitch_matrix(rate: int, frame: int) -> np.ndarray:
@@ -167,25 +174,72 @@ def fingerprint_table(rows: DataFrame, media: Column, id_col: str, bits: int = 8
     return rows.select(F.col(id_col).cast("long"), media.cast("binary")).mapInArrow(lean(run), schema)
 
 
+def _beside(entries: DataFrame) -> DataFrame:
+    """With how many entries of the recording lie before, at and after each one's position: what two have there bounds their votes."""
+    line = Window.partitionBy("cid").orderBy("pos")
+    before = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, -1))
+    upto = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    total = F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    return entries.withColumns({"before": before, "upto": upto, "total": total}).withColumns({"here": F.col("upto") - F.col("before"), "after": F.col("total") - F.col("upto")}).drop("upto", "total")
+
+
+def most_votes(prints: DataFrame) -> DataFrame:
+    """rec_id, aligned_to, offset and votes of the best of all smaller ids and offsets."""
+    recordings = prints.filter(F.col("rec_id").isNotNull() & (F.size("numbers") > 0)).groupBy("rec_id").agg(F.array_sort(F.collect_set("numbers")).alias("rows"))
+    recordings = written(recordings.withColumn("key", F.sha2(F.col("rows").cast("string").cast("binary"), 256)), "recordings")
+    # Recordings with the same numbers are one class, known by its smallest id.
+    members = recordings.select("rec_id", "key").join(recordings.groupBy("key").agg(F.min("rec_id").alias("cid")), "key").select("rec_id", "cid")
+    members = written(members, "members")
+    classes = members.filter(F.col("rec_id") == F.col("cid")).join(recordings, "rec_id").select("cid", "rows")
+    one = classes.filter(F.size("rows") == 1).select("cid", F.posexplode(F.col("rows")[0]).alias("pos", "number"))
+    several = classes.filter(F.size("rows") > 1).select("cid", F.explode("rows").alias("row")).select("cid", F.posexplode("row").alias("pos", "number")).distinct()
+    entries = written(one.unionByName(several), "entries")
+    known = entries.groupBy("number").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("cid", "pos")).alias("first"), F.max("cid").alias("last")).filter(F.col("first.cid") < F.col("last"))
+    shared = written(entries.join(known.drop("last"), "number"), "shared")
+    voting = shared.filter(F.col("first.cid") < F.col("cid"))
+    guess = voting.groupBy("cid", F.col("first.cid").alias("other"), (F.col("first.pos") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    # The smallest partner is the first holder of all that is shared with it.
+    guess = written(guess.groupBy("cid").agg(F.greatest(F.max("votes"), F.lit(2)).alias("need"), F.min(F.struct("other", "offset")).alias("one")), "guess")
+    # The commonest entries are skipped as long as they can't give `need` votes by themselves.
+    commonest = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("held"), "number", "pos"))
+    ranked = _beside(voting).withColumn("rank", commonest).join(guess.select("cid", "need"), "cid")
+    ranked = written(ranked.select("cid", "number", "pos", "held", "need", *BESIDE, (F.col("rank") < F.col("need")).alias("skipped")), "ranked")
+    # Holders of a common number are dealt into slices, so that none is one task's work.
+    slices = F.ceil(F.col("held") / SLICE).cast("int")
+    asked = ranked.filter("NOT skipped").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("held", "skipped")
+    there = shared.select("number", F.col("cid").alias("other"), F.col("pos").alias("there"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("slice"))
+    holders = _beside(shared).select("number", F.col("cid").alias("other"), F.col("pos").alias("there"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("slice"), *[F.col(c).alias(f"other_{c}") for c in BESIDE])
+    most = sum((F.least(c, f"other_{c}") for c in BESIDE), F.lit(0))
+    pairs = asked.join(holders, ["number", "slice"]).filter((F.col("other") < F.col("cid")) & (most >= F.col("need")))
+    pairs = written(pairs.groupBy("cid", "other", (F.col("there") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")), "pairs")
+    rest = pairs.join(ranked.filter("skipped").select("cid", "number", "pos"), "cid")
+    rest = rest.select("cid", "other", "offset", "number", (F.col("pos") + F.col("offset")).alias("there"))
+    rest = rest.join(there.drop("slice"), ["other", "number", "there"]).select("cid", "other", "offset", F.lit(1).cast("long").alias("votes"))
+    counted = pairs.unionByName(rest).groupBy("cid", "other", "offset").agg(F.sum("votes").alias("votes"))
+    single = guess.select("cid", F.col("one.other").alias("other"), F.col("one.offset").alias("offset"), F.lit(1).cast("long").alias("votes"))
+    # Most votes, then smaller id, then smaller offset, as one ordered value.
+    order = lambda votes, other, offset: F.struct(votes.cast("long").alias("votes"), (-other).alias("id"), (-offset).cast("int").alias("offset"))
+    best = counted.unionByName(single).groupBy("cid").agg(F.max(order(F.col("votes"), F.col("other"), F.col("offset"))).alias("best"))
+    # A copy votes for its class with all it holds; nothing has more, and no id between has as many and comes first.
+    own = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+    out = members.join(own, "cid").join(best, "cid", "left")
+    copy = F.when(F.col("rec_id") != F.col("cid"), order(F.col("own"), F.col("cid"), F.lit(0)))
+    out = out.withColumn("best", F.greatest("best", copy)).filter("best IS NOT NULL")
+    return out.select("rec_id", (-F.col("best.id")).alias("aligned_to"), (-F.col("best.offset")).alias("offset"), F.col("best.votes").alias("votes"))
+
+
 def align(prints: DataFrame) -> DataFrame:
-    """rec_id, aligned_to, offset, votes, overlap and bit_error_rate for each recording that votes.
+    """rec_id, aligned_to, offset, votes, overlap and bit_error_rate for each recording that shares a number with a smaller id.
 
     Position p of the recording lies at position p + offset of ``aligned_to``.
     """
-    held = prints.filter(F.col("rec_id").isNotNull()).select("rec_id", F.posexplode("numbers").alias("pos", "number"))
-    # First recordings by number: a partial minimum before the shuffle.
-    first = held.groupBy("number").agg(F.min(F.struct("rec_id", "pos")).alias("first"))
-    votes = held.join(first, "number").filter(F.col("first.rec_id") != F.col("rec_id"))
-    votes = votes.groupBy("rec_id", F.col("first.rec_id").alias("aligned_to"), (F.col("first.pos") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    # Most votes, then smaller id, then smaller offset, as one ordered value.
-    best = votes.groupBy("rec_id").agg(F.max(F.struct("votes", (-F.col("aligned_to")).alias("id"), (-F.col("offset")).alias("offset"))).alias("best"))
-    best = written(best.select("rec_id", (-F.col("best.id")).alias("aligned_to"), (-F.col("best.offset")).alias("offset"), F.col("best.votes").alias("votes")), "aligned")
+    best = written(most_votes(prints), "aligned")
     one = prints.filter(F.col("rec_id").isNotNull()).groupBy("rec_id").agg(F.max("numbers").alias("numbers"))
     own = one.select("rec_id", F.col("numbers").alias("a"))
     other = one.select(F.col("rec_id").alias("aligned_to"), F.col("numbers").alias("b"))
     both = best.join(own, "rec_id").join(other, "aligned_to")
     lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    both = both.withColumn("overlap", hi - lo)
+    both = both.withColumn("overlap", F.greatest(hi - lo, F.lit(0)))
     pairs = F.zip_with(F.slice("a", lo + 1, F.col("overlap")), F.slice("b", lo + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))))
     wrong = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + x)
-    return both.select("rec_id", "aligned_to", "offset", "votes", "overlap", (wrong / (F.col("overlap") * 32)).alias("bit_error_rate"))
+    return both.select("rec_id", "aligned_to", "offset", "votes", "overlap", (wrong / F.nullif(F.col("overlap") * 32, F.lit(0))).alias("bit_error_rate"))

@@ -102,3 +102,41 @@ def test_query_against_brute_force(spark, docs_of, sf_dir):
 def test_short_media_has_one_number_and_empty_table_none(spark, docs_of, sf_dir):
     assert len(fingerprints([b"ab" * (HOP * WIDEST)])[0]) >= 1
     assert QUERIES["op7_chroma_fingerprints"](spark, sf_dir(documents=docs_of([]))).count() == 0
+
+
+def every_pair_and_offset(prints):
+    """The best of all smaller ids and offsets; ``prints`` has the set of (position, number) of each id."""
+    out = {}
+    for i, own in prints.items():
+        votes = {}
+        for j, other in prints.items():
+            for p, x in own if j < i else ():
+                for q, y in other:
+                    if x == y:
+                        votes[j, q - p] = votes.get((j, q - p), 0) + 1
+        if votes:
+            (j, off), v = min(votes.items(), key=lambda x: (-x[1], x[0]))
+            out[i] = (j, off, v)
+    return out
+
+
+def aligned(spark, rows):
+    return {r.rec_id: (r.aligned_to, r.offset, r.votes) for r in align(spark.createDataFrame(rows, "rec_id long, numbers array<int>")).collect()}
+
+
+def test_copies_made_of_others_passages_and_repetitive_copies(spark):
+    a, b, loop = list(range(10, 16)), list(range(20, 25)), [31, 32, 33] * 4
+    got = aligned(spark, [(1, [*a, 1]), (2, [2, *b]), (8, a + b), (9, a + b), (10, [*a, *b, 3]), (20, loop), (21, loop), (22, [5, *loop])])
+    assert (got[9], got[10], got[21], got[22]) == ((8, 0, 11), (8, 0, 11), (20, 0, 12), (20, -1, 12))
+
+
+def test_votes_against_every_pair_and_offset(spark, monkeypatch):
+    monkeypatch.setattr("facetmill.llm.chroma.SLICE", 5)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.choice(40, int(rng.integers(1, 12)), p=np.arange(40, 0, -1) / 820).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[i][1][1:] + [7, 7, 7]) for i in range(20)] + [(200 + i, rows[i % 8][1]) for i in range(20)]
+    rows += [(i, rng.integers(0, 9, 5).tolist()) for i in (3, 3, 205, 300, 301)] + [(301, [8]), (400, []), (401, [99])]
+    prints = {}
+    for i, n in rows:
+        prints.setdefault(i, set()).update(enumerate(n))
+    assert aligned(spark, rows) == every_pair_and_offset(prints)
