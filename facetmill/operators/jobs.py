@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gazetteer as g
@@ -13,7 +13,7 @@ from ..functions.classify import cohort
 from ..functions.gazetteer import Gazetteer
 from ..functions.text import clean_value, labelled, normalize_name
 from .extract import Extractor
-from .resolve import CORE, FIELDS, finalize, import_report, normalize_city, normalize_province, resolve
+from .resolve import CORE, FIELDS, duplicate_of, finalize, import_report, normalize_city, normalize_province, resolve
 from .tables import upsert
 
 
@@ -85,10 +85,39 @@ def prune_orphans(stored: DataFrame, sources: DataFrame) -> DataFrame:
     return stored.join(gone, "image", "left_anti")
 
 
-def replay(stored: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Stored records after replaying snapshots, which were resolved when they were taken: manual sources become what the snapshots hold."""
-    manual = F.startswith("image", F.lit("manual:"))
-    return stored.filter(~manual).unionByName(snapshots, allowMissingColumns=True)
+def replay(stored: DataFrame, snapshots: DataFrame, keep_duplicates: bool = False) -> DataFrame:
+    """Stored records after replaying snapshots in the order of ``source_file`` (of ``image`` without that column).
+
+    Manual sources become what their snapshots hold, without records that duplicate a stored one, one
+    of a source replayed before or an earlier one of the same source; nothing is merged. ``block_index``
+    counts a source's kept records from 0.
+    """
+    rest = stored.filter(~F.startswith("image", F.lit("manual:")))
+    kept = snapshots if keep_duplicates else without_duplicates(snapshots, rest)
+    number = F.row_number().over(Window.partitionBy("image").orderBy("block_index")) - 1
+    return rest.unionByName(kept.withColumn("block_index", number.cast(snapshots.schema["block_index"].dataType)).drop("source_file"), allowMissingColumns=True)
+
+
+def without_duplicates(snapshots: DataFrame, stored: DataFrame) -> DataFrame:
+    """Snapshot records that duplicate neither ``stored`` nor one kept before; duplicates share the normalised name."""
+    key = F.coalesce(normalize_name(F.col("name")), F.lit("")).alias("_key")
+    source = "source_file" if "source_file" in snapshots.columns else "image"
+    types = {f: "int" if f == "cohort_year" else "string" for f in FIELDS}
+    fields = [(F.col(f) if f in snapshots.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()]
+    new = snapshots.select(key, F.col(source).alias("_source"), "image", "block_index", *fields)
+    known = stored.select(key, "id", *[(F.col(f) if f in stored.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()])
+
+    def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        clean = lambda d: d.astype(object).where(d.notna(), None).to_dict("records")
+        kept: list[dict] = []
+        others = clean(right.sort_values("id")) if len(right) else []
+        for row in clean(left.sort_values(["_source", "block_index"])) if len(left) else []:
+            if not row["_key"] or duplicate_of(row, [*others, *kept]) is None:
+                kept.append(row)
+        return pd.DataFrame([(r["image"], r["block_index"]) for r in kept], columns=["image", "block_index"])
+
+    schema = ", ".join(f"{c} {snapshots.schema[c].dataType.simpleString()}" for c in ("image", "block_index"))
+    return snapshots.join(new.groupBy("_key").cogroup(known.groupBy("_key")).applyInPandas(group, schema), ["image", "block_index"], "left_semi").select(*snapshots.columns)
 
 
 def override_records(records: DataFrame, rules: DataFrame) -> DataFrame:

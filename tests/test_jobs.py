@@ -48,3 +48,21 @@ def test_rules_by_name_and_place(spark):
     got = sorted(map(tuple, jobs.override_records(records, rules).collect()))
     assert got == [("a", 0, "王五", None), ("a", 1, "李四", "y"), ("b", 0, "张三", "z")]
     assert [r.image for r in jobs.unknown_rule_images(rules, records).collect()] == ["c"]
+
+
+def snapshot(spark, rows):
+    kinds = ", ".join(f"{f} {'int' if f == 'cohort_year' else 'string'}" for f in FIELDS)
+    return spark.createDataFrame([(image, i, *[row.get(f) for f in FIELDS]) for image, i, row in rows], f"image string, block_index int, {kinds}")
+
+
+def test_replay_skips_what_is_stored_or_replayed_before(spark):
+    li = {"name": "李四", "destination_org": "昆明市某某局", "province": "云南省"}
+    wang = {"name": "王五", "destination_org": "成都市某某局", "province": "四川省"}
+    shots = snapshot(spark, [
+        ("manual:b.csv", 0, li), ("manual:b.csv", 1, wang | {"destination_org": "拉萨市委党校", "province": "西藏自治区"}), ("manual:b.csv", 2, {"name": None}),
+        ("manual:a.csv", 0, {"name": "张 三", "destination_org": "武汉市某局"}), ("manual:a.csv", 1, li), ("manual:a.csv", 2, wang), ("manual:a.csv", 3, wang),
+    ])
+    old = stored(spark).unionByName(stored(spark).withColumns({"image": F.lit("manual:gone.csv"), "id": F.lit(8).cast("long")}))
+    got = sorted((r.image, r.block_index, r.name or "") for r in jobs.replay(old, shots).collect())
+    assert got == [("a.jpg", 0, "张三"), ("manual:a.csv", 0, "李四"), ("manual:a.csv", 1, "王五"), ("manual:b.csv", 0, "王五"), ("manual:b.csv", 1, "")]
+    assert jobs.replay(old, shots, keep_duplicates=True).count() == 8
