@@ -87,8 +87,10 @@ _GENERATORS = (
     ("card", re.compile(r"(?<![\w.-])\d{13,19}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.-])\d{1,3}(?:\x20?\.\x20?\d{1,3}){3}(?![\w-])")),
 )
-#: Needed for any candidate: a digit, or a spelled-out or written at sign.
-_ANY = r"[0-9@]|[(\[{ ][aA][tT][)\]} ]"
+#: What Python's \s takes, for RE2.
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+#: Needed for any candidate: a digit, or a spelled-out or written at sign, as wide as the generators have it.
+_ANY = rf"[\p{{Nd}}@]|[{_SPACE}(\[{{][aA][tT][{_SPACE})\]}}]"
 _HINTS = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address)\W*$", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|cell|mobile|fax|contact|number|ring)\b\W*(?:\w+\W+){0,2}$", re.I),

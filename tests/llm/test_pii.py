@@ -2,6 +2,8 @@ import hashlib
 import re
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,3 +113,12 @@ def test_redaction_keeps_columns(spark, docs_of, models):
 
 def test_empty_table(spark, docs_of, sf_dir):
     assert QUERIES["op5_personal_data"](spark, sf_dir(documents=docs_of([]))).count() == 0
+
+
+def test_prefilter_lets_all_candidates_through():
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = [f"write to john{s}at{s}example dot com" for s in spaces] + [f"john{s}AT example dot com" for s in spaces]
+    texts += ["john(at)example dot com", "john [\nat\n] example dot com", "\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u0660"]
+    assert all(pii.candidates(t) for t in texts)
+    assert pc.match_substring_regex(pa.array(texts), pii._ANY).to_pylist() == [True] * len(texts)
+    assert not pc.match_substring_regex(pa.array(["what a date", "at home"]), pii._ANY).to_pylist()[0]
