@@ -21,8 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are documents of their own, and so are rows without one, which come last.
+    """
     ship_package(spark)
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id IS NULL")
+    if not odd.isEmpty():
+        rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id())
+        rows = written(rows, "rows")
+        groups = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+        copies = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+        return rows.join(copies, "_row", "left_anti").select(*docs.columns)
     groups = neardup.near_duplicates(docs, percent=80)
     copies = groups.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)

@@ -77,3 +77,10 @@ def test_steps(spark):
     bounds = [3, 5, 5, 9]
     df = spark.range(12).select("id", step_of(F.col("id"), bounds, lambda b: F.col("id") < b).alias("k"))
     assert all(r.k == sum(b <= r.id for b in bounds) for r in df.collect())
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "a"), (1, one, "b"), (2, two, "a"), (2, one, "a"), (None, two, "a"), (None, three, "a"), (None, three, "b"), (4, None, "a")]
+    got = cp.drop_near_duplicates(spark, documents(spark, rows).repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, one), (2, two), (0, three), (4, "")])
