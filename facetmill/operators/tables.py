@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fix_typos, image_stem, normalize_text, normalize_width, strip_invisible
+
 # Keyed loads ----------------------------------------------------------------------------------
 
 
@@ -147,9 +150,41 @@ def mean_of(values: Column) -> Column:
 # Rules ----------------------------------------------------------------------------------------
 
 
-def apply_text_rules(text: Column, rules: Sequence[Mapping[str, object]]) -> Column:
-    """Ordered replacements, literal or by regular expression."""
-    return reduce(lambda c, r: F.regexp_replace(c, str(r["from"]), str(r["to"])) if r.get("regex") else F.replace(c, F.lit(r["from"]), F.lit(r["to"])), rules, text)
+def apply_text_rules(text: Column, rules: Sequence[Mapping[str, object]], image: Column | None = None) -> Column:
+    """Ordered replacements, literal or by regular expression. A rule with an image is for that image's rows only."""
+
+    def step(c: Column, r: Mapping[str, object]) -> Column:
+        new = F.regexp_replace(c, str(r["from"]), str(r["to"])) if r.get("regex") else F.replace(c, F.lit(r["from"]), F.lit(r["to"]))
+        if r.get("image") is None:
+            return new
+        return c if image is None else F.when(image_stem(image) == image_stem(F.lit(r["image"])), new).otherwise(c)
+
+    return reduce(step, rules, text)
+
+
+def fix_line(text: Column, rules: Sequence[Mapping[str, object]], image: Column | None = None, base: Column | None = None) -> Column:
+    """A line by the rules; where none changes it, by the rules on its normalised form (``base``); else as it is."""
+    base = normalize_text(text) if base is None else base
+    fixed, second = apply_text_rules(text, rules, image), apply_text_rules(base, rules, image)
+    return F.when(fixed != text, fixed).when(second != base, second).otherwise(text)
+
+
+def apply_line_corrections(df: DataFrame, rules: Sequence[Mapping[str, object]], image: str = "image", lines: str = "lines") -> DataFrame:
+    """Lines (an array of structs with ``text``) by the rules of their image, and ``corrected``, how many changed."""
+    if not rules:
+        return df.withColumn("corrected", F.lit(0))
+    # Lambdas take no Python function, so the lines of a row are normalised in one call.
+    plain = _nfkc_all(F.transform(lines, lambda x: strip_invisible(x["text"])))
+    out = df.withColumn("_plain", F.transform(plain, lambda t: fix_typos(normalize_width(t))))
+    out = out.withColumn("_texts", F.zip_with(lines, "_plain", lambda x, t: fix_line(x["text"], rules, F.col(image), t)))
+    changed = F.zip_with(lines, "_texts", lambda x, t: F.coalesce(x["text"] != t, F.lit(False)))
+    corrected = F.coalesce(F.when(F.col(lines).isNotNull(), F.size(F.filter(changed, lambda c: c))), F.lit(0))
+    return out.withColumns({lines: F.zip_with(lines, "_texts", lambda x, t: x.withField("text", t)), "corrected": corrected}).drop("_plain", "_texts")
+
+
+@F.pandas_udf("array<string>")
+def _nfkc_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
 
 
 def rule_hits(df: DataFrame, column: str, rules: Sequence[str]) -> DataFrame:

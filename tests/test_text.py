@@ -103,3 +103,14 @@ def test_aliases():
     groups = alias_groups({"groups": [{"canonical": "湖南", "aliases": ["湘", "三湘"]}, ["A", "b"], {"term": "x", "variants": []}], "aliases": {"沪": ["上海", "申"]}})
     assert [c for c, _ in groups] == ["湖南", "A", "上海", "申"]
     assert expand_terms(["Ａ", "三 湘", "none"], groups) == [("Ａ", ["Ａ", "b"]), ("三 湘", ["三 湘", "湖南", "湘"]), ("none", ["none"])]
+
+
+def test_line_rules_by_image_and_on_the_normalised_line(spark):
+    from facetmill.operators.tables import apply_line_corrections, apply_text_rules
+
+    rules = [{"image": None, "from": "A1", "to": "ok", "regex": False}, {"image": "p.jpg", "from": "B+", "to": "x", "regex": True}]
+    rows = [("d/p.jpg", ["A1", "Ａ１", "BB", "Ｃ"]), ("q.png", ["A1 BB", None]), (None, ["BB"]), ("p", None)]
+    df = spark.createDataFrame([(i, x and [(t, 1) for t in x]) for i, x in rows], "image string, lines array<struct<text:string,page:int>>")
+    got = {r.image: (r.lines and [(x.text, x.page) for x in r.lines], r.corrected) for r in apply_line_corrections(df, rules).collect()}
+    assert got == {"d/p.jpg": ([("ok", 1), ("ok", 1), ("x", 1), ("Ｃ", 1)], 3), "q.png": ([("ok BB", 1), (None, 1)], 1), None: ([("BB", 1)], 0), "p": (None, 0)}
+    assert apply(spark, lambda x: apply_text_rules(x, rules, F.lit("q")), ["A1BB"]) == ["okBB"]
