@@ -13,12 +13,26 @@ from facetmill.llm.shingles import band_keys, sets, sketches
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_rows(rows, percent):
+    """Sorted (doc_id, n_shingles, component) of all rows, of which several may have one doc_id, from all pairs."""
+    found = [(i, shingle_set(t)) for i, t in rows]
+    comp = {i: i for i, _ in found if i is not None}
+    for a, x in found:
+        for b, y in found:
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {k: new if v == old else v for k, v in comp.items()}
+    return sorted(((i, len(x), comp.get(i)) for i, x in found), key=str)
+
+
 def brute_force(rows, percent):
     """Size and component of each document, from all pairs of sets of word tuples."""
-    shingles = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        shingles[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    shingles = {i: shingle_set(t) for i, t in rows}
     comp = {i: i for i in shingles}
     ids = sorted(shingles)
     for a in ids:
@@ -68,6 +82,19 @@ def test_query_with_repeated_rows_and_null_ids(spark, docs_of, sf_dir):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (7, 7, True), (7, 7, True), (9, 7, False)]
 
 
+def test_rows_of_one_id_with_different_texts(spark, docs_of, monkeypatch):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (5, b), (5, a), (7, b), (9, c), (9, None), (8, c), (11, ""), (None, a), (5, a)]
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs_of(rows), 85).collect()], key=str)
+    assert got == brute_rows(rows, 85) and (7, 36, 1) in got and (9, 0, 8) in got
+    monkeypatch.setattr(neardup, "_SKETCH_BLOCK", 5)
+    monkeypatch.setattr(neardup, "_TEXT_BLOCK", 4)
+    rng = random.Random(2)
+    rows = [(rng.randrange(50) if i % 9 else None, t) for i, (_, t) in enumerate(random_rows(7) + random_rows(8))]
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs_of(rows), 80).collect()], key=str)
+    assert got == brute_rows(rows, 80)
+
+
 def test_empty_table(spark, docs_of, sf_dir):
     assert QUERIES["op4_minhash_near_dedup"](spark, sf_dir(documents=docs_of([]))).count() == 0
 
