@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def step_of(key: Column, bounds: list, below) -> Column:
-    """Number of ``bounds`` that aren't above the row: a binary search of nested ``when``.
+def step_of(bounds: list, below: Callable, leaf: Callable[[int], Column] = F.lit) -> Column:
+    """What ``leaf`` gives for the number of ``bounds`` that aren't above the row: a binary search of nested ``when``.
 
     ``below(bound)`` is the condition that the row lies before the bound.
     """
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return leaf(lo)
         mid = (lo + hi) // 2
         return F.when(below(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 

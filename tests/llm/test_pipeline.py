@@ -75,7 +75,7 @@ def test_steps(spark):
     from pyspark.sql import functions as F
 
     bounds = [3, 5, 5, 9]
-    df = spark.range(12).select("id", step_of(F.col("id"), bounds, lambda b: F.col("id") < b).alias("k"))
+    df = spark.range(12).select("id", step_of(bounds, lambda b: F.col("id") < b).alias("k"))
     assert all(r.k == sum(b <= r.id for b in bounds) for r in df.collect())
 
 

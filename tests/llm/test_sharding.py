@@ -41,6 +41,19 @@ def test_nulls_negative_ids_long_texts_and_repeated_rows(spark, docs_of):
     check(rows, shard_by_bytes(docs_of(rows), 3).collect(), 3)
 
 
+@pytest.mark.parametrize("part_rows", [8_000_000, 30])
+def test_rows_that_repeat_text_and_id_are_dealt_by_count(spark, docs_of, part_rows):
+    rows = [(i, f"text {i} " + "y" * (i % 60)) for i in range(2800)] + [(9, "the same row again and again")] * 1200
+    got = shard_by_bytes(docs_of(rows), 40, part_rows=part_rows).collect()
+    sizes = check(rows, got, 40)
+    share = sum(sizes) / 40
+    assert all(abs(s - share) <= max(r.size for r in got) + 0.002 * share for s in sizes)
+
+
+def test_all_rows_alike(spark, docs_of):
+    assert sorted(check([(1, "x")] * 100, shard_by_bytes(docs_of([(1, "x")] * 100), 5).collect(), 5)) == [340] * 5
+
+
 def test_few_rows_and_empty_table(spark, docs_of):
     check([(1, "x")], shard_by_bytes(docs_of([(1, "x")]), 40).collect(), 40)
     assert shard_by_bytes(docs_of([]), 40).count() == 0
