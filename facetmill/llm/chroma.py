@@ -7,20 +7,21 @@ position has a packed 32-bit number.
 
 For alignment a recording's positions vote for (recording, offset) over all recordings with a smaller
 id and all positions there that hold their numbers; most votes win, ties going to the smaller id, then
-the smaller offset. So each pair is compared once, for its larger id. The share of differing bits over
-the overlap tells how well the two agree. The result is that of trying every pair and offset, by these
-steps: recordings with the same numbers are one class; votes for the first holders of numbers are a
-lower bound of a recording's most votes; to reach the bound it must share one of its rarer numbers,
-since the skipped common ones give fewer votes than that; what shares one is counted in full. A single
-vote needs no pairs, as the first holder decides it. So a number that a third of all recordings share
-once makes no pairs. Many different recordings that share several common numbers, and no first holder
-that bounds them better, remain quadratic in their number.
+the smaller offset. An alignment takes LEAST_VOTES votes (numbers agree by chance), or all positions of an
+exact copy. So each pair is compared once, for its larger id. The share of differing bits over the overlap
+tells how well the two agree. The result is that of trying every pair and offset, by these steps:
+recordings with the same numbers are one class; the first holder of most of a class's numbers is compared
+with it; a better one has to hold more of its numbers than the commonest ones, as many as are too few
+for that, so only holders of the others are compared. So neither numbers that a third of all
+recordings share nor large groups of near copies, whose first one holds what they have in common, make
+pairs. Many different recordings that share several common numbers, and no first holder that has
+as many of them, remain quadratic in their number.
 
 Media is raw PCM: unsigned 8-bit or little-endian signed 16-bit, one channel. Edge cases: null or
 empty media has no fingerprint and no alignment; media shorter than a frame is padded with silence;
 media with fewer frames than the widest filter repeats its last frame; rows with one id are
-fingerprinted one by one and vote as one recording, a number that several hold at one position once; a null id doesn't take part in alignment; an
-empty table gives an empty table; other columns are ignored.
+fingerprinted one by one, and the best alignment of any of them with any row of a smaller id counts; a
+null id doesn't take part in alignment; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ UNIT = 1 << 12
 _FRAMES_AT_ONCE = 4096
 #: Holders of a number that meet in one task.
 SLICE = 4096
-BESIDE = ("before", "here", "after")
+#: Votes that an alignment takes.
+LEAST_VOTES = 4
+_VOTES_AT_ONCE = 4 << 20
 
 
 def pitch_matrix(rate: int, frame: int) -> np.ndarray:
@@ -174,72 +177,122 @@ def fingerprint_table(rows: DataFrame, media: Column, id_col: str, bits: int = 8
     return rows.select(F.col(id_col).cast("long"), media.cast("binary")).mapInArrow(lean(run), schema)
 
 
-def _beside(entries: DataFrame) -> DataFrame:
-    """With how many entries of the recording lie before, at and after each one's position: what two have there bounds their votes."""
-    line = Window.partitionBy("cid").orderBy("pos")
-    before = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, -1))
-    upto = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    total = F.count(F.lit(1)).over(Window.partitionBy("cid"))
-    return entries.withColumns({"before": before, "upto": upto, "total": total}).withColumns({"here": F.col("upto") - F.col("before"), "after": F.col("total") - F.col("upto")}).drop("upto", "total")
-
-
-def most_votes(prints: DataFrame) -> DataFrame:
-    """rec_id, aligned_to, offset and votes of the best of all smaller ids and offsets."""
-    recordings = prints.filter(F.col("rec_id").isNotNull() & (F.size("numbers") > 0)).groupBy("rec_id").agg(F.array_sort(F.collect_set("numbers")).alias("rows"))
-    recordings = written(recordings.withColumn("key", F.sha2(F.col("rows").cast("string").cast("binary"), 256)), "recordings")
-    # Recordings with the same numbers are one class, known by its smallest id.
-    members = recordings.select("rec_id", "key").join(recordings.groupBy("key").agg(F.min("rec_id").alias("cid")), "key").select("rec_id", "cid")
-    members = written(members, "members")
-    classes = members.filter(F.col("rec_id") == F.col("cid")).join(recordings, "rec_id").select("cid", "rows")
-    one = classes.filter(F.size("rows") == 1).select("cid", F.posexplode(F.col("rows")[0]).alias("pos", "number"))
-    several = classes.filter(F.size("rows") > 1).select("cid", F.explode("rows").alias("row")).select("cid", F.posexplode("row").alias("pos", "number")).distinct()
-    entries = written(one.unionByName(several), "entries")
-    known = entries.groupBy("number").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("cid", "pos")).alias("first"), F.max("cid").alias("last")).filter(F.col("first.cid") < F.col("last"))
-    shared = written(entries.join(known.drop("last"), "number"), "shared")
-    voting = shared.filter(F.col("first.cid") < F.col("cid"))
-    guess = voting.groupBy("cid", F.col("first.cid").alias("other"), (F.col("first.pos") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    # The smallest partner is the first holder of all that is shared with it.
-    guess = written(guess.groupBy("cid").agg(F.greatest(F.max("votes"), F.lit(2)).alias("need"), F.min(F.struct("other", "offset")).alias("one")), "guess")
-    # The commonest entries are skipped as long as they can't give `need` votes by themselves.
-    commonest = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("held"), "number", "pos"))
-    ranked = _beside(voting).withColumn("rank", commonest).join(guess.select("cid", "need"), "cid")
-    ranked = written(ranked.select("cid", "number", "pos", "held", "need", *BESIDE, (F.col("rank") < F.col("need")).alias("skipped")), "ranked")
-    # Holders of a common number are dealt into slices, so that none is one task's work.
+def best_offset(own: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
+    """Most votes of all offsets, the smallest such offset, its overlap and the share of differing bits there.
+
+    Position p of ``own`` lies at position p + offset of ``other``; a position votes for each that holds its number.
+    """
+    order = np.argsort(other, kind="stable")
+    ranked = other[order]
+    low, high = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    votes = np.zeros(len(own) + len(other) - 1, np.int64)
+    at = 0
+    while at < len(own):  # a bounded number of votes at once
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + _VOTES_AT_ONCE, "right")) - 1)
+        many = high[at:to] - low[at:to]
+        position = np.repeat(np.arange(at, to), many)
+        there = order[np.repeat(low[at:to], many) + np.arange(len(position)) - np.repeat(upto[at:to] - upto[at], many)]
+        votes += np.bincount(there - position + len(own) - 1, minlength=len(votes))
+        at = to
+    best = int(votes.argmax())
+    offset = best - len(own) + 1
+    begin, end = max(0, -offset), min(len(own), len(other) - offset)
+    wrong = np.bitwise_count(own[begin:end].view(np.uint32) ^ other[begin + offset : end + offset].view(np.uint32)).sum(dtype=np.int64)
+    return int(votes[best]), offset, end - begin, float(wrong) / (32 * (end - begin))
+
+
+FOUND = "k long, votes long, aligned_to long, offset int, overlap int, bit_error_rate double"
+
+
+def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """FOUND for each pair of classes (k, other)."""
+    other = classes.select(F.col("k").alias("other"), F.col("least").alias("aligned_to"), F.col("numbers").alias("theirs"))
+    both = pairs.join(classes.select("k", "numbers"), "k").join(other, "other").select("k", "numbers", "aligned_to", "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in (batch.column(1), batch.column(3)):
+                flat, bounds = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+                sides.append([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+            found = [best_offset(a, b) for a, b in zip(*sides)]
+            votes, offset, overlap, wrong = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(votes, pa.int64()), batch.column(2), pa.array(offset, pa.int32()), pa.array(overlap, pa.int32()), pa.array(wrong, pa.float64())],
+                names=["k", "votes", "aligned_to", "offset", "overlap", "bit_error_rate"],
+            )
+
+    return both.mapInArrow(lean(run), FOUND)
+
+
+def _best(found: DataFrame, key: str) -> DataFrame:
+    """Of each key the row with most votes, then the smaller id, then the smaller offset."""
+    order = F.struct("votes", (-F.col("aligned_to")).alias("id"), (-F.col("offset")).alias("at"), "overlap", "bit_error_rate")
+    best = found.groupBy(key).agg(F.max(order).alias("b"))
+    return best.select(key, "b.votes", (-F.col("b.id")).alias("aligned_to"), (-F.col("b.at")).alias("offset"), "b.overlap", "b.bit_error_rate")
+
+
+def _numbers(classes: DataFrame) -> DataFrame:
+    """k, least, n, number and how many positions hold it, for each distinct number of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            made = [np.unique(flat[a:b], return_counts=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            row = pa.array(np.repeat(np.arange(len(made)), [len(x) for x, _ in made]))
+            number, times = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.diff(bounds), pa.int32()).take(row), pa.array(number, pa.int32()), pa.array(times, pa.int32())],
+                names=["k", "least", "n", "number", "times"],
+            )
+
+    return classes.select("k", "least", "numbers").mapInArrow(lean(run), "k long, least long, n int, number int, times int")
+
+
+def best_partners(classes: DataFrame, least_votes: int) -> DataFrame:
+    """FOUND of each class: the best of all classes with a smaller id and all offsets, with ``least_votes`` at least."""
+    entries = written(_numbers(classes), "entries")
+    known = entries.groupBy("number").agg(F.count(F.lit(1)).alias("held"), F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
+    shared = written(entries.join(written(known.drop("last"), "known"), "number"), "shared")
+    voting = shared.filter("first < least")
+    # The class that comes first with most of a class's numbers is compared at once: what it gets bounds all others.
+    guess = voting.groupBy("k", "first").agg(F.sum("times").alias("most")).groupBy("k").agg(F.max(F.struct("most", (-F.col("first")).alias("first"))).alias("g"))
+    pairs = guess.select("k", (-F.col("g.first")).alias("least")).join(classes.select(F.col("k").alias("other"), "least"), "least").select("k", "other")
+    guessed = written(_best(compared(pairs, classes), "k"), "guessed")
+    # A better class has more votes, or as many and a smaller id. So it holds more of the class's numbers than
+    # the commonest ones that together are too few for that; those aren't asked for.
+    have = F.col("votes")
+    more = F.greatest(have + 1, F.lit(least_votes).cast("long"))
+    ranked = voting.join(guessed.select("k", "votes", "aligned_to"), "k").withColumn("smaller", F.col("first") < F.col("aligned_to"))
+    commonest = Window.partitionBy("k").orderBy(F.desc("held"), "number")
+    upto = ranked.withColumn("upto", F.sum("times").over(commonest.rowsBetween(Window.unboundedPreceding, 0)))
+    early = F.when(F.col("smaller"), F.col("times")).otherwise(0)
+    upto = upto.withColumn("early", F.sum(early).over(commonest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all_early", F.sum(early).over(Window.partitionBy("k")))
+    by_votes = F.col("upto") >= more
+    by_id = F.col("smaller") & (have >= least_votes) & (F.col("all_early") >= have) & (F.col("early") >= have)
     slices = F.ceil(F.col("held") / SLICE).cast("int")
-    asked = ranked.filter("NOT skipped").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("held", "skipped")
-    there = shared.select("number", F.col("cid").alias("other"), F.col("pos").alias("there"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("slice"))
-    holders = _beside(shared).select("number", F.col("cid").alias("other"), F.col("pos").alias("there"), F.pmod(F.xxhash64("cid"), slices).cast("int").alias("slice"), *[F.col(c).alias(f"other_{c}") for c in BESIDE])
-    most = sum((F.least(c, f"other_{c}") for c in BESIDE), F.lit(0))
-    pairs = asked.join(holders, ["number", "slice"]).filter((F.col("other") < F.col("cid")) & (most >= F.col("need")))
-    pairs = written(pairs.groupBy("cid", "other", (F.col("there") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")), "pairs")
-    rest = pairs.join(ranked.filter("skipped").select("cid", "number", "pos"), "cid")
-    rest = rest.select("cid", "other", "offset", "number", (F.col("pos") + F.col("offset")).alias("there"))
-    rest = rest.join(there.drop("slice"), ["other", "number", "there"]).select("cid", "other", "offset", F.lit(1).cast("long").alias("votes"))
-    counted = pairs.unionByName(rest).groupBy("cid", "other", "offset").agg(F.sum("votes").alias("votes"))
-    single = guess.select("cid", F.col("one.other").alias("other"), F.col("one.offset").alias("offset"), F.lit(1).cast("long").alias("votes"))
-    # Most votes, then smaller id, then smaller offset, as one ordered value.
-    order = lambda votes, other, offset: F.struct(votes.cast("long").alias("votes"), (-other).alias("id"), (-offset).cast("int").alias("offset"))
-    best = counted.unionByName(single).groupBy("cid").agg(F.max(order(F.col("votes"), F.col("other"), F.col("offset"))).alias("best"))
-    # A copy votes for its class with all it holds; nothing has more, and no id between has as many and comes first.
-    own = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
-    out = members.join(own, "cid").join(best, "cid", "left")
-    copy = F.when(F.col("rec_id") != F.col("cid"), order(F.col("own"), F.col("cid"), F.lit(0)))
-    out = out.withColumn("best", F.greatest("best", copy)).filter("best IS NOT NULL")
-    return out.select("rec_id", (-F.col("best.id")).alias("aligned_to"), (-F.col("best.offset")).alias("offset"), F.col("best.votes").alias("votes"))
-
-
-def align(prints: DataFrame) -> DataFrame:
-    """rec_id, aligned_to, offset, votes, overlap and bit_error_rate for each recording that shares a number with a smaller id.
+    asked = upto.filter(by_votes | by_id).select("k", "number", "held", "n", F.when(by_votes, F.col("least")).otherwise(F.col("aligned_to")).alias("below"), F.when(by_id, have).otherwise(more).alias("need"))
+    # Holders of a common number are dealt into slices, so that none is one task's work.
+    asked = asked.filter(F.col("n") >= F.col("need")).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    holders = shared.select("number", F.col("k").alias("other"), F.col("least").alias("other_least"), F.col("n").alias("other_n"), F.pmod(F.xxhash64("k"), slices).cast("int").alias("slice"))
+    close = asked.select("k", "number", "slice", "below", "need").join(holders, ["number", "slice"]).filter((F.col("other_least") < F.col("below")) & (F.col("other_n") >= F.col("need")))
+    pairs = written(close.select("k", "other").distinct(), "pairs")
+    return _best(guessed.unionByName(compared(pairs, classes)).filter(F.col("votes") >= least_votes), "k")
+
+
+def align(prints: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
+    """rec_id, aligned_to, offset, votes, overlap and bit_error_rate for each recording that aligns with one of a smaller id.
 
     Position p of the recording lies at position p + offset of ``aligned_to``.
     """
-    best = written(most_votes(prints), "aligned")
-    one = prints.filter(F.col("rec_id").isNotNull()).groupBy("rec_id").agg(F.max("numbers").alias("numbers"))
-    own = one.select("rec_id", F.col("numbers").alias("a"))
-    other = one.select(F.col("rec_id").alias("aligned_to"), F.col("numbers").alias("b"))
-    both = best.join(own, "rec_id").join(other, "aligned_to")
-    lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    both = both.withColumn("overlap", F.greatest(hi - lo, F.lit(0)))
-    pairs = F.zip_with(F.slice("a", lo + 1, F.col("overlap")), F.slice("b", lo + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))))
-    wrong = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + x)
-    return both.select("rec_id", "aligned_to", "offset", "votes", "overlap", (wrong / F.nullif(F.col("overlap") * 32, F.lit(0))).alias("bit_error_rate"))
+    recordings = prints.filter(F.col("rec_id").isNotNull() & (F.size("numbers") > 0)).select("rec_id", "numbers", F.sha2(F.col("numbers").cast("string").cast("binary"), 256).alias("key"))
+    # Equal numbers are one class, known by its smallest id.
+    classes = recordings.groupBy("key").agg(F.min("rec_id").alias("least"), F.first("numbers").alias("numbers"))
+    classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    members = written(recordings.select("rec_id", "key").distinct().join(classes.select("key", "k", "least", F.size("numbers").alias("n")), "key").drop("key"), "members")
+    best = written(best_partners(classes, least_votes), "best")
+    found = members.join(best, "k").select("rec_id", *best.columns[1:])
+    # A copy agrees with its class at all positions; nothing has more votes, and no id between has as many and comes first.
+    copies = members.filter("rec_id > least").select("rec_id", F.col("n").cast("long").alias("votes"), F.col("least").alias("aligned_to"), F.lit(0).alias("offset"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
+    return _best(found.unionByName(copies), "rec_id").select("rec_id", "aligned_to", "offset", "votes", "overlap", "bit_error_rate")
