@@ -1,13 +1,14 @@
 """Best-fit packing with certified bin counts.
 
 Documents become token pieces of at most ``capacity`` ids. Each partition packs its pieces by
-best-fit decreasing, and dual-feasible-function lower bounds certify its number of sequences.
-While the whole exceeds its bound, partitions with gaps give up the documents of their unfilled
-sequences; these meet in fewer partitions and are packed again.
+best-fit decreasing, and dual feasible functions bound its number of sequences from below: a partition
+that meets its own bound is certified. Partitions above theirs give up the pieces of their unfilled
+sequences; these meet in fewer partitions and are packed again, as long as that saves sequences.
+A bound is rounded up, so the emptiest sequence of each certified partition goes along.
 
 Edge cases: null text is empty text, whose piece is the end id alone; an empty table gives an
-empty table; repeated rows are packed one by one, each with its own place; other columns are
-ignored, whatever their names.
+empty table; repeated rows are packed one by one, each with its own place, and dealt to partitions
+one by one, also those of one doc_id or none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .shared import written
 from .worker import lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", part int, sequence long, offset long, filled long"
+PACKED = PIECES + ", row long, part int, sequence long, offset long, filled long, bound long"
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -66,23 +67,19 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
     The largest of three families of dual feasible functions, in whole numbers: the identity,
     u_k (lengths rounded towards multiples of 1/k) and U_e (large items count as whole bins, those
-    under e as nothing), the latter also after u_k.
+    under e as nothing), the latter also after u_k. For U_e, e up to half the capacity counts.
     """
-    counts = np.asarray(counts).astype(object)
-    length = np.arange(len(counts)).astype(object)
-    if not counts.any():
-        return 0
-    best = 0
+    counts = np.asarray(counts, np.int64)
     lengths = np.flatnonzero(counts)
-    for e in [0, *(int(x) for x in lengths if 2 * x <= capacity)]:
-        shrunk = np.where(length > capacity - e, capacity, np.where(length < e, 0, length)) if e else length
-        best = max(best, -(-int(counts @ shrunk) // capacity))
-        if e and len(lengths) > 64:
-            continue  # u_k after each U_e only where that is few functions
-        for k in range(1, 21):
-            scaled = (k + 1) * shrunk
-            value = np.where(scaled % capacity == 0, k * shrunk, scaled // capacity * capacity)
-            best = max(best, -(-int(counts @ value) // (capacity * k)))
+    if not len(lengths):
+        return 0
+    many, k, best = counts[lengths], np.arange(1, 21)[:, None], 0
+    for e in [0, *lengths[2 * lengths <= capacity].tolist()]:
+        shrunk = np.where(lengths > capacity - e, capacity, np.where(lengths < e, 0, lengths)) if e else lengths
+        best = max(best, -(-int(shrunk @ many) // capacity))
+        scaled = (k + 1) * shrunk
+        value = np.where(scaled % capacity == 0, k * shrunk, scaled // capacity * capacity)
+        best = max(best, int((-(-(value @ many) // (capacity * k[:, 0]))).max()))
     return best
 
 
@@ -116,56 +113,59 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
 
 def _pack_partition(capacity: int):
     def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.select(["doc_id", "piece", "start", "length", "ids_crc32", "part"])
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.select(["doc_id", "piece", "start", "length", "ids_crc32", "row", "part"])
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
+        bound = lower_bound(np.bincount(rows["length"].to_numpy(), minlength=capacity + 1), capacity)
         bins, offsets, fill = best_fit(rows["length"].to_pylist(), capacity)
         at = np.array(bins, np.int64)
-        return rows.append_column("sequence", pa.array(at)).append_column("offset", pa.array(offsets, pa.int64())).append_column("filled", pa.array(np.array(fill, np.int64)[at]))
+        for name, values in (("sequence", at), ("offset", np.array(offsets, np.int64)), ("filled", np.array(fill, np.int64)[at]), ("bound", np.full(len(at), bound, np.int64))):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     return pack
 
 
-def _dealt(pieces: DataFrame, n: int, per_partition: int, first_part: int, salt: int) -> DataFrame:
-    parts = max(1, -(-n // per_partition))
-    return pieces.withColumn("part", (F.lit(first_part) + F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece"), F.lit(parts))).cast("int"))
-
-
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, per_partition: int = 60_000, rounds: int = 4) -> tuple[DataFrame, list[dict]]:
-    """Packs the pieces; also a report of each round: sequences, their bound, partitions certified.
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, per_partition: int = 60_000) -> tuple[DataFrame, list[dict]]:
+    """Packs the pieces; also a report of each round.
 
     ``pieces`` has the columns of PIECES. The result has in addition ``part`` and ``sequence``
-    (together a sequence), ``offset`` and ``filled``, the ids in the sequence.
+    (together a sequence), ``offset``, ``filled`` (the ids in the sequence) and ``bound`` (sequences that the
+    partition needs at least). A round's report: all sequences so far, the bound of the whole,
+    partitions, and how many of them are certified.
     """
-    settled: list[DataFrame] = []
-    report: list[dict] = []
-    waiting, n, first_part = pieces, pieces.count(), 0
-    settled_bins = 0
+    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_length = np.zeros(capacity + 1, np.int64)
     for length, many in pieces.groupBy("length").count().collect():  # at most a row for each length up to the capacity
         by_length[length] = many
-    bound = lower_bound(by_length, capacity)
-    for k in range(rounds):
-        dealt = _dealt(waiting, n, per_partition, first_part, k)
-        packed = written(dealt.groupBy("part").applyInArrow(_pack_partition(capacity), PACKED), f"packed{k}")
-        # By partition: sequences, how many are full, and the lengths for its bound.
-        parts = packed.groupBy("part").agg(
-            F.sum(F.when(F.col("offset") == 0, 1)).alias("bins"),
-            F.sum(F.when((F.col("offset") == 0) & (F.col("filled") == capacity), 1).otherwise(0)).alias("full"),
-            F.sum("length").alias("tokens"),
-        )
-        parts = parts.withColumn("gap", (F.col("bins") * capacity - F.col("tokens")))
-        seen = parts.agg(F.sum("bins"), F.sum("full"), F.count_if(F.col("gap") < capacity), F.count(F.lit(1))).first()
-        bins, full, tight, many = (x or 0 for x in seen)
-        report.append({"round": k, "sequences": settled_bins + bins, "bound": bound, "partitions": many, "certified": tight})
-        open_rows = packed.filter(F.col("filled") < capacity)
-        n_open = open_rows.count()
-        if settled_bins + bins <= bound or k == rounds - 1 or many <= 1 or n_open == n:
+    bound, n = lower_bound(by_length, capacity), int(by_length.sum())
+    settled: list[DataFrame] = []
+    report: list[dict] = []
+    waiting, first_part, settled_bins, reopened = pieces, 0, 0, None
+    while True:
+        parts = max(1, -(-n // per_partition))
+        # Dealt by row: the pieces of one doc_id are no group.
+        part = (F.lit(first_part) + F.pmod(F.xxhash64(F.lit(len(report)), "row"), F.lit(parts))).cast("int")
+        packed = written(waiting.withColumn("part", part).groupBy("part").applyInArrow(_pack_partition(capacity), PACKED), f"packed{len(report)}")
+        heads = packed.filter("offset = 0")
+        own = heads.groupBy("part").agg(F.count(F.lit(1)).alias("bins"), F.max("bound").alias("own_bound"), F.min(F.struct("filled", "sequence")).alias("emptiest"))
+        own = written(own.withColumn("certified", F.col("bins") <= F.col("own_bound")), "partitions")
+        seen = own.agg(F.sum("bins"), F.count_if("certified"), F.count(F.lit(1))).first()
+        bins, certified, many = (x or 0 for x in seen)
+        report.append({"round": len(report), "sequences": settled_bins + bins, "bound": bound, "partitions": many, "certified": certified})
+        # ``reopened`` sequences went into this round.
+        if settled_bins + bins <= bound or many <= 1 or reopened is not None and bins >= reopened:
             settled.append(packed)
             break
-        settled.append(packed.filter(F.col("filled") == capacity))
-        settled_bins += full
-        first_part += max(1, -(-n // per_partition))
-        waiting, n = open_rows.drop("part", "sequence", "offset", "filled"), n_open
+        emptiest = F.col("certified") & (F.col("emptiest.sequence") == F.col("sequence"))
+        opened = (F.col("filled") < capacity) & (~F.col("certified") | emptiest)
+        both = packed.join(own.select("part", "certified", "emptiest"), "part").withColumn("opened", opened)
+        n, reopened = both.filter("opened").agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).first()
+        settled.append(both.filter("NOT opened").select(*packed.columns))
+        settled_bins += bins - reopened
+        first_part += parts
+        waiting = both.filter("opened").select(*pieces.columns)
+        if not n:
+            break
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -174,4 +174,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, per_partition: int = 60
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> tuple[DataFrame, list[dict]]:
     """Documents cut into pieces and packed into sequences of at most ``capacity`` ids."""
-    return pack_pieces(written(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity), capacity)

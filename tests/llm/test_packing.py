@@ -84,17 +84,57 @@ def test_dual_feasible_functions_beat_the_sum():
     assert lower_bound(counts, 10) == 4
 
 
-def test_partitions_exchange_documents(spark):
-    rows = [(i, 0, 0, n, 0) for i, n in enumerate([6, 4] * 50 + [3, 7] * 50)]
-    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    packed, report = pack_pieces(pieces, capacity=10, per_partition=20)
+def slow_bound(lengths, capacity):
+    """The same bound item by item."""
+    def whole(x, e):
+        return capacity if e and x > capacity - e else 0 if e and x < e else x
+
+    best = -(-sum(lengths) // capacity)
+    for e in [0, *[x for x in lengths if 2 * x <= capacity]]:
+        for k in range(1, 21):
+            u = [k * y if (k + 1) * y % capacity == 0 else (k + 1) * y // capacity * capacity for y in (whole(x, e) for x in lengths)]
+            best = max(best, -(-sum(u) // (capacity * k)), -(-sum(whole(x, e) for x in lengths) // capacity))
+    return best
+
+
+def test_bound_over_many_distinct_lengths():
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        lengths = rng.integers(1, 301, 120).tolist()
+        assert lower_bound(np.bincount(lengths, minlength=301), 300) == slow_bound(lengths, 300)
+
+
+def packed_rows(spark, lengths, per_partition, ids=None):
+    rows = [(ids[i] if ids else i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+    packed, report = pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), capacity=10, per_partition=per_partition)
     got = packed.collect()
-    assert len(got) == len(rows)
-    used = {(r.part, r.sequence) for r in got}
-    assert len(report) > 1 and report[-1]["sequences"] == len(used) < report[0]["sequences"]
+    assert sorted((r.doc_id or -1, r.length) for r in got) == sorted((r[0] or -1, r[3]) for r in rows)
+    used = {}
+    for r in got:
+        used.setdefault((r.part, r.sequence), []).append((r.offset, r.length))
+    for inside in used.values():
+        assert [o for o, _ in sorted(inside)] == [0, *itertools.accumulate(n for _, n in sorted(inside))][:-1] and sum(n for _, n in inside) <= 10
+    assert report[-1]["sequences"] == len(used) <= report[0]["sequences"]
+    return got, report
+
+
+def test_partitions_exchange_documents(spark):
+    _, report = packed_rows(spark, [6, 4] * 50 + [3, 7] * 50, 20)
+    assert len(report) > 1 and report[-1]["sequences"] < report[0]["sequences"]
     assert report[-1]["sequences"] >= report[-1]["bound"] == 100
 
 
+def test_certified_by_own_bound_where_the_sum_is_loose(spark):
+    got, report = packed_rows(spark, [6] * 60, 20)
+    assert all(r.bound * 10 > 6 * r.bound for r in got) and len(report) == 1
+    assert report[0]["certified"] == report[0]["partitions"] > 1 and report[0]["sequences"] == report[0]["bound"] == 60
+
+
+def test_rows_of_one_id_are_dealt_apart(spark):
+    got, report = packed_rows(spark, [3, 5, 8, 2] * 30, 20, [None] * 60 + [7] * 60)
+    assert report[0]["partitions"] == 6 and report[-1]["sequences"] <= report[-1]["bound"] + 2
+
+
 def test_query_against_brute_force(spark, docs_of, sf_dir):
     texts = [None, "", "one two", "one two", "word " * 5000, "Ünï \n\n cödé  x"]
     path = sf_dir(documents=docs_of(list(enumerate(texts)) + [(0, None)]))
