@@ -1,9 +1,11 @@
 """Token ids in files of Re-Pair blocks, decodable at any document and any id.
 
 Documents are dealt into shards by ranges of doc_id and encoded in that order. A shard is a run of
-blocks of a bounded number of ids. In a block the most frequent pairs of neighbouring symbols become
-nonterminals, round after round; a pair never spans two documents. A block stores its rules, the
-length of each rule's expansion, and where each document's symbols begin.
+blocks of a bounded number of ids, each with a grammar of its own, so that memory is bounded and a
+reader needs no more than one block. In a block frequent pairs of neighbouring symbols become
+nonterminals, the most frequent ones first, round after round, until no pair occurs often enough to
+save what its rule takes, or symbols run out; a pair never spans two documents. A block stores its
+rules, the length of each rule's expansion, and where each document's symbols begin.
 
 Block layout, little-endian: magic; version, end id, first nonterminal, symbol width (2 or 4);
 numbers of documents, rules and symbols; validity and value of each doc_id; rules (two symbols
@@ -35,19 +37,19 @@ _MAGIC, _VERSION = b"RPRB", 1
 _HEAD = struct.Struct("<4s4I3Q")
 BLOCK = "shard int, block int, n_docs long, n_tokens long, payload binary"
 DECODED = "doc_id long, shard int, block int, within long, n_tokens long, ids_crc32 long"
-#: Rounds of replacement in a block, and how often a pair has to occur.
-_ROUNDS, _LEAST = 4, 8
+#: A round replaces pairs down to this share of the most frequent one.
+_SHARE = 16
 _SLOTS = 20
 
 
-def _frequent(keys: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent keys, up to ``most``, each at least _LEAST times; ties to smaller keys."""
-    if not len(keys):
-        return keys
+def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent keys: no less than a _SHARE-th as often as the first, ``least`` times and up to ``most`` keys; ties to smaller ones."""
+    if not len(keys) or most <= 0:
+        return keys[:0]
     keys = np.sort(keys)
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.concatenate([begin, [len(keys)]]))
-    often = count >= _LEAST
+    often = np.flatnonzero(count >= max(least, int(count.max()) // _SHARE))
     keys, count = keys[begin[often]], count[often]
     return keys[np.lexsort((keys, -count))[:most]]
 
@@ -58,31 +60,37 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first: int) -> tuple[np.ndarra
     ``first`` is the first nonterminal; with ids below 65,536 all symbols stay below it too.
     """
     narrow = first < 1 << 16
-    shift, kind = (16, np.uint32) if narrow else (32, np.uint64)
-    room = (1 << 16) - first if narrow else 1 << 16
+    shift, kind, width = (16, np.uint32, 2) if narrow else (32, np.uint64, 4)
+    room = (1 << 8 * width) - first
+    least = (2 * width + 4) // width + 1  # a rule takes two symbols and a length, an occurrence saves a symbol
     symbols, last = ids.astype(kind), np.zeros(len(ids), bool)
     last[bounds[1:] - 1] = True
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.ones(first, np.uint32)]
+    slots = np.full(1 << _SLOTS, -1, np.int32)
+    slot_of = lambda x: ((x * kind(0x9E3779B1)) >> kind(12 if narrow else 24)) & kind((1 << _SLOTS) - 1)
     made = 0
-    for k in range(_ROUNDS):
+    while True:
         keys = (symbols[:-1] << kind(shift)) | symbols[1:]
-        chosen = _frequent(keys[~last[:-1]], (room - made) // (_ROUNDS - k))
-        # A table of hash slots finds the chosen pairs; of two in a slot the more frequent one stays.
-        slot_of = lambda x: ((x * kind(0x9E3779B1)) >> kind(12 if narrow else 24)) & kind((1 << _SLOTS) - 1)
+        chosen = _frequent(keys[~last[:-1]], least, room - made)
+        # A table of hash slots finds the chosen pairs; of two in a slot the less frequent one waits for a later round.
         _, keep = np.unique(slot_of(chosen), return_index=True)
         chosen = chosen[np.sort(keep)]
         if not len(chosen):
             break
-        slots = np.full(1 << _SLOTS, -1, np.int32)
         slots[slot_of(chosen)] = np.arange(len(chosen))
         rule = slots[slot_of(keys)]
+        slots[slot_of(chosen)] = -1
         at = np.flatnonzero((rule >= 0) & ~last[:-1])
         at = at[chosen[rule[at]] == keys[at]]
         # Of overlapping occurrences, every other one from the left.
         alone = np.concatenate([[True], np.diff(at) > 1])
         run = np.maximum.accumulate(np.where(alone, at, 0))
         at = at[(at - run) % 2 == 0]
-        symbols[at] = (first + made + rule[at]).astype(kind)
+        # Rules for pairs of which an occurrence is left; the others' were overlapped.
+        used = np.bincount(rule[at], minlength=len(chosen)) > 0
+        number = np.cumsum(used) - 1
+        chosen = chosen[used]
+        symbols[at] = (first + made + number[rule[at]]).astype(kind)
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
@@ -135,7 +143,7 @@ class Block:
         return cls(ids, first, take(kind, 2 * n_rules).reshape(-1, 2), take("<u4", n_rules), take("<u8", n_docs + 1), take(kind, n_symbols))
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of some symbols; each pass undoes one round of replacement."""
+        """The ids of some symbols; each pass undoes a step of replacement."""
         symbols = symbols.astype(np.uint32)
         while True:
             made = symbols >= self.first

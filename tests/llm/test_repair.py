@@ -34,6 +34,23 @@ def test_frequent_pairs_shrink_the_symbols():
     assert len(Block.read(raw).symbols) < 4 * 1001 / 8
 
 
+@pytest.mark.parametrize("first", [300, 70_000])
+def test_rounds_go_on_until_no_pair_is_frequent(first):
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(2, 290, 9).tolist() for _ in range(30)]
+    docs = [[x for k in rng.integers(0, 30, 40) for x in phrases[k]] + [1] for _ in range(50)]
+    block = Block.read(_block(docs, first))
+    left = {}
+    for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist()):
+        own = block.symbols[a:b].tolist()
+        at = 0
+        while at < len(own) - 1:
+            left[own[at], own[at + 1]] = left.get((own[at], own[at + 1]), 0) + 1
+            at += 1 + (own[at] == own[at + 1])
+    assert max(left.values()) <= 5 and int(block.lengths.max()) >= 18
+    assert block.ids().tolist() == [x for d in docs for x in d]
+
+
 def test_rejects_other_bytes():
     with pytest.raises(ValueError):
         Block.read(b"\0" * 100)
