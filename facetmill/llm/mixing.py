@@ -11,8 +11,10 @@ documents in the order of a priority (drawn from a hash of the document, by the
 fractional part) get one more, until the source is within half a document of its target.
 
 Edge cases: null text has size 0; a null source is a source of its own, the last; a source without
-words takes none; repeated rows are documents of their own; an empty table gives an empty table;
-other columns are ignored. Everything is drawn from hashes, so reruns agree.
+words takes none; repeated rows are documents of their own, and as they can stand for each other they
+are counted, not sorted: only where a source's target falls among them are they numbered, by
+partition; an empty table gives an empty table; other columns are ignored. Everything is drawn from
+hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BINS = 4096
-_FAR = 1e4
+#: Newton steps end long before; more mean that something is wrong.
+_MOST_STEPS = 500
 
 
 def n_words(text: Column) -> Column:
@@ -58,15 +61,18 @@ def _rate(multiplier: Column, scaled: Column, cap: float) -> Column:
     return F.lit(cap) / (F.lit(1.0) + F.exp(-multiplier * scaled))
 
 
-def solve_dual(counts: DataFrame, sources: DataFrame, cap: float, steps: int = 40, exact: float = 1e-9) -> DataFrame:
-    """``sources`` with ``mean`` and ``multiplier``, by safeguarded Newton steps.
+def solve_dual(counts: DataFrame, sources: DataFrame, cap: float, exact: float = 1e-9) -> DataFrame:
+    """``sources`` with ``mean`` and ``multiplier``, by safeguarded Newton steps until every source is at its target.
 
-    ``counts`` has (source_key, size, n). A source that stops at its cap has every rate at it.
+    ``counts`` has (source_key, size, n). A source that stops at its cap has every rate at it. A step is
+    at most 4 and the multiplier's size, and stays inside the bracket of multipliers that gave too
+    little and too much. A source is done when its residual is within ``exact`` of its target, or
+    when doubles hold no multiplier between the two.
     """
     means = counts.groupBy("source_key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = sources.join(means, "source_key").withColumns({"multiplier": F.lit(0.0), "low": F.lit(-_FAR), "high": F.lit(_FAR), "off": F.lit(1.0)})
+    state = sources.join(means, "source_key").withColumns({"multiplier": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "off": F.lit(1.0)})
     fixed = F.col("stops") | (F.col("mean") <= 0)
-    for k in range(steps):
+    for k in range(_MOST_STEPS):
         scaled = F.col("size") / F.col("mean")
         rate = _rate(F.col("multiplier"), scaled, cap)
         sums = (
@@ -74,19 +80,24 @@ def solve_dual(counts: DataFrame, sources: DataFrame, cap: float, steps: int = 4
             .agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.col("n") * F.col("size") * scaled * rate * (F.lit(1.0) - rate / F.lit(cap))).alias("slope"))
         )
         now = state.join(sums, "source_key", "left")
-        residual = F.col("got") - F.col("target")
-        low = F.when(residual < 0, F.col("multiplier")).otherwise(F.col("low"))
-        high = F.when(residual >= 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.when(F.col("slope") > 0, F.col("multiplier") - residual / F.when(F.col("slope") > 0, F.col("slope")))
-        inside = newton.isNotNull() & (newton > low) & (newton < high)
-        new = F.when(residual.isNull(), F.col("multiplier")).when(inside, newton).otherwise((low + high) / 2)
-        off = F.when(residual.isNull(), F.lit(0.0)).otherwise(F.abs(residual) / F.greatest(F.col("target"), F.lit(1.0)))
-        state = written(now.select("source_key", "source_size", "target", "stops", "mean", new.alias("multiplier"), F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"), off.alias("off")), f"dual{k}")
+        at, residual = F.col("multiplier"), F.col("got") - F.col("target")
+        low, high = F.when(residual < 0, at).otherwise(F.col("low")), F.when(residual >= 0, at).otherwise(F.col("high"))
+        far = F.abs(at) + 4
+        step = F.when(F.col("slope") > 0, F.least(F.greatest(residual / F.col("slope"), -far), far)).otherwise(F.signum(residual) * far)
+        new = F.when((at - step > low) & (at - step < high), at - step).otherwise((low + high) / 2)
+        off = F.when((new <= low) | (new >= high), F.lit(0.0)).otherwise(F.abs(residual) / F.greatest(F.col("target"), F.lit(1.0)))
+        idle = residual.isNull()
+        state = written(
+            now.select(
+                "source_key", "source_size", "target", "stops", "mean", F.when(idle | (off <= exact), at).otherwise(new).alias("multiplier"),
+                F.when(idle, F.col("low")).otherwise(low).alias("low"), F.when(idle, F.col("high")).otherwise(high).alias("high"), F.when(idle, F.lit(0.0)).otherwise(off).alias("off"),
+            ), f"dual{k}",
+        )
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= exact:
-            break
-    # Sums of doubles depend on the order of partitions in their last digits, which must not decide on copies.
-    return state.select("source_key", "source_size", "target", "stops", "mean", F.round("multiplier", 7).alias("multiplier"))
+            # Sums of doubles depend on the order of partitions in their last digits, which must not decide on copies.
+            return state.select("source_key", "source_size", "target", "stops", "mean", F.round("multiplier", 7).alias("multiplier"))
+    raise RuntimeError(f"the dual isn't solved after {_MOST_STEPS} steps: {worst} off")
 
 
 def source_key(source: Column) -> Column:
@@ -113,7 +124,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
     Also ``source_key`` and ``draw``, which with doc_id tell rows apart unless they repeat each other.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_key(docs["source"]).alias("source_key"), n_words(docs["text"].cast("string")).alias("size"), drawn(docs).alias("draw"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_key(docs["source"]).alias("source_key"), n_words(docs["text"].cast("string")).alias("size"), drawn(docs).alias("draw"), F.spark_partition_id().alias("part"))
     rows = written(rows, "sizes")
     counts = written(rows.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     sizes = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -141,8 +152,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     columns = ["doc_id", "source_key", "draw", "size", "source_size", "target", "rate"]
     one = F.when((F.col("side") < 0) & (F.col("bin") < _BINS), 1).otherwise(0)
     clear = placed.filter(F.col("side") != 0).select(*columns, (whole() + one).alias("copies"))
-    within = Window.partitionBy("source_key").orderBy("priority", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    close = placed.filter(F.col("side") == 0).withColumn("upto", upto).select(*columns, (whole() + F.when(F.col("upto") + F.col("size") / 2 <= F.col("missing"), 1).otherwise(0)).alias("copies"))
-    both = clear.unionByName(close)
-    return both.select(*columns, F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    close = placed.filter(F.col("side") == 0).withColumn("key", F.struct("priority", "draw", "doc_id", "size"))
+    # Where a source reaches its target: rows before `cut` get one more, and `more` of those that equal it.
+    alike = close.groupBy("source_key", "key").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("missing").alias("missing"))
+    within = Window.partitionBy("source_key").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("missing") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("key.size")).over(within), F.lit(0))
+    more = F.when(F.col("key.size") > 0, F.floor(left / F.nullif(F.col("key.size"), F.lit(0)) + 0.5)).otherwise(F.when(left >= 0, F.col("n")).otherwise(0))
+    cuts = alike.withColumn("more", F.greatest(F.lit(0), more)).filter("more < n").groupBy("source_key").agg(F.min(F.struct("key", "more")).alias("c"))
+    cuts = written(cuts.select("source_key", F.col("c.key").alias("cut"), F.col("c.more").alias("more")), "cuts")
+    close = close.join(cuts, "source_key", "left")
+    tied = F.coalesce(F.col("key") == F.col("cut"), F.lit(False))
+    apart = close.filter(~tied).select(*columns, (whole() + F.when(F.col("cut").isNull() | (F.col("key") < F.col("cut")), 1).otherwise(0)).alias("copies"))
+    equal = close.filter(tied)
+    parts = equal.groupBy("source_key", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    earlier = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written(parts.select("source_key", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("earlier")), "tied")
+    number = F.row_number().over(Window.partitionBy("source_key", "part").orderBy("draw")) + F.col("earlier")
+    equal = equal.join(parts, ["source_key", "part"]).withColumn("number", number).select(*columns, (whole() + F.when(F.col("number") <= F.col("more"), 1).otherwise(0)).alias("copies"))
+    out = clear.unionByName(apart).unionByName(equal)
+    return out.select(*columns, F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -53,6 +54,37 @@ def test_query_against_brute_force(spark, sf_dir):
     assert all(abs(taken[s] - targets[s]) <= largest / 2 + 1 for s in sizes), (taken, targets)
 
 
+def test_rates_solve_the_dual_by_bisection(spark):
+    rows = [*corpus(600), (9001, "w " * 3000, "b"), (9002, "w", "tiny"), (9003, "w " * 400, "tiny")]
+    by_source = {}
+    for r in mix_sources(rows_of(spark, rows)).collect():
+        by_source.setdefault(r.source_key, []).append(r)
+    for own in by_source.values():
+        target, mean = own[0].target, sum(r["size"] for r in own) / len(own)
+        if target >= 2 * own[0].source_size:
+            assert all(r.rate == 2 for r in own)
+            continue
+        low, high = -1e4, 1e4
+        rates = lambda m: [2 / (1 + math.exp(max(-700, min(700, -m * r["size"] / mean)))) for r in own]  # noqa: B023, E731
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(x * r["size"] for x, r in zip(rates(m), own)) < target else (low, m)
+        assert [r.rate for r in own] == pytest.approx(rates(low), rel=1e-4, abs=1e-6)
+
+
+def test_repeated_rows_are_dealt_by_count(spark):
+    rows = [(i, "word " * (1 + i % 30), "abc"[i % 3]) for i in range(600)] + [(7, "one two three four five", "a")] * 400 + [(8, "x y", "b")] * 300
+    got = mix_sources(rows_of(spark, rows)).collect()
+    taken, target, largest = {}, {}, 31
+    for r in got:
+        taken[r.source_key] = taken.get(r.source_key, 0) + r.taken
+        target[r.source_key] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= largest / 2 + 1 for s in taken), (taken, target)
+    again = mix_sources(rows_of(spark, rows[::-1]).repartition(5)).collect()
+    count = lambda x: sorted((r.doc_id, r["size"], r.copies) for r in x)
+    assert count(got) == count(again)
+
+
 def test_rates_are_tilted_and_reruns_agree(spark):
     rows = corpus(600)
     a = sorted(mix_sources(rows_of(spark, rows)).collect(), key=lambda r: r.doc_id)
