@@ -5,15 +5,18 @@ forms); a feature's value is log(1 + occurrences). One weight vector w serves al
 thresholds t_1 < t_2 < ...: P(grade >= k) = sigmoid(w x - t_k). The expected severity is the sum of
 these probabilities. A cut on P(grade >= 1), chosen on held-out documents, rejects.
 
-The model is fitted on the driver from at most LABELLED labelled documents (those with the smallest
-hashes of their ids). Labels may hold grades; where they only say toxic or not, toxic documents get
-grades 1 to 3 by how much they hold of the features that toxic documents have far more often than others.
+It is trained on at most LABELLED labelled documents (those with the smallest hashes of their ids).
+Executors count their features by exact name and send back only the chosen features of each document;
+the driver fits on these numbers and never has a text. Labels may hold grades; where they only say
+toxic or not, toxic documents get grades 1 to 3 by how much they hold of the features that toxic
+documents have far more often than others.
 
 Edge cases: null text has no features; rows with null label, and documents without text, don't
-train; several labels of a document count as its largest; without documents of both kinds every
-document has severity 0 and none is rejected; repeated rows are scored alike; an empty table gives
-an empty table; other columns are kept by
-``without_rejected``, whatever their names, and ignored by ``score``.
+train; several labels of a document count as its largest; of several texts with one labelled doc_id
+one trains; without documents of both kinds every document has severity 0 and none is rejected;
+repeated rows are scored alike; equal probabilities are on one side of the cut; an empty table gives
+an empty table; other columns are kept by ``without_rejected``, whatever their names, and ignored by
+``score``.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .worker import lean, release
+from .shared import written
+from .worker import lean
 
 #: Bounds of the training set and of the model.
-LABELLED, FEATURES = 12_000, 4096
-_PREFIXES, _SLOTS = (4, 5, 6), 1 << 22
-#: Text whose words are numbered at once: on the driver, and in workers.
+LABELLED, FEATURES = 16_000, 4096
+_PREFIXES = (4, 5, 6)
+#: Text whose words are numbered at once, in training and in scoring.
 _SLICE_BYTES, _SCORE_BYTES = 2 << 20, 8 << 20
+#: One document in so many is held out for the cut.
+_FOLDS = 5
 
 
 def _coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -62,6 +68,18 @@ def _slices(texts: pa.Array, at_once: int = _SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def _spread(own: list[list[int]], code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and feature of each occurrence, from the features of each distinct word."""
+    many = np.array([len(h) for h in own], np.int64)
+    if not many.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.concatenate([[0], np.cumsum(many)])
+    flat = np.array([i for h in own for i in h], np.int64)
+    at = np.flatnonzero(many[code] > 0)
+    n = many[code[at]]
+    return np.repeat(owner[at], n), flat[np.repeat(first[code[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
 @dataclass
 class OrdinalModel:
     """Numbers of features by name, their weights, the thresholds, and the cut on P(grade >= 1)."""
@@ -74,15 +92,9 @@ class OrdinalModel:
     def matrix(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, feature and value of every non-zero entry."""
         words, code, owner = _coded_words(texts)
-        hits = [[self.names[f] for f in _features(w) if f in self.names] for w in words]
-        many = np.array([len(h) for h in hits], np.int64)
-        first = np.concatenate([[0], np.cumsum(many)])
-        flat = np.array([i for h in hits for i in h], np.int64)
-        at = np.flatnonzero(many[code] > 0) if len(code) else np.empty(0, np.int64)
-        n = many[code[at]]
-        feature = flat[np.repeat(first[code[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(at) else np.empty(0, np.int64)
-        stride = max(len(self.weights), 1)
-        cell, count = np.unique(np.repeat(owner[at], n) * stride + feature, return_counts=True)
+        text, feature = _spread([[self.names[f] for f in _features(w) if f in self.names] for w in words], code, owner)
+        stride = max(len(self.names), 1)
+        cell, count = np.unique(text * stride + feature, return_counts=True)
         return cell // stride, cell % stride, np.log1p(count)
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
@@ -96,45 +108,75 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def _slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Counting slot, word and name of each feature of some words."""
-    names = [_features(w) for w in words]
-    flat = [f for own in names for f in own]
-    slots = np.fromiter((xxhash.xxh3_64_intdigest(f) & (_SLOTS - 1) for f in flat), np.int64, len(flat))
-    return slots, np.repeat(np.arange(len(words)), [len(own) for own in names]), flat
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, most: int) -> DataFrame:
+    """text, label and held (out) of the training documents, one row for each labelled doc_id, as a written table."""
+    label = F.max(F.col(label_col).cast("int")).alias("label")
+    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(label)
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    # At most `most` rows of 12 bytes are broadcast.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(_FOLDS)) == 0
+    return written(rows.select("doc_id", "text", "label", held.alias("held")), "labelled")
 
 
-def choose_features(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the features most associated with toxic texts, by log-likelihood ratio, and the log odds ratio of each number.
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """name, and how many documents have it: n0 and n1 not toxic and toxic ones that aren't held out, h0 and h1 those that are."""
 
-    Features are counted in hash slots, so memory is bounded; names that share a chosen slot share a number.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = (batch.column(1).to_numpy() > 0) + 2 * batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, part in _slices(batch.column(0)):
+                words, code, owner = _coded_words(part)
+                number: dict[str, int] = {}
+                own = [[number.setdefault(f, len(number)) for f in _features(w)] for w in words]
+                text, feature = _spread(own, code, owner)
+                cell = np.unique(text.astype(np.int64) * max(len(number), 1) + feature)
+                text, feature = cell // max(len(number), 1), cell % max(len(number), 1)
+                counts = [np.bincount(feature[kind[lo + text] == k], minlength=len(number)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(c.astype(np.int64)) for c in counts)], names=["name", "n0", "n1", "h0", "h1"])
+
+    made = rows.select("text", "label", "held").mapInArrow(lean(run), "name string, n0 long, n1 long, h0 long, h1 long")
+    return made.groupBy("name").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "h0", "h1")])
+
+
+def choose_features(counts: DataFrame, clean: int, toxic: int, parts: str) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the features most associated with toxic texts, by log-likelihood ratio, and their log odds ratios.
+
+    ``parts`` names the counts that are added up: n, h or both.
+    """
+    seen = [sum((F.col(f"{p}{k}") for p in parts), F.lit(0)).cast("double") for k in (0, 1)]
+    total = [float(clean), float(toxic)]
+    odds = F.log((seen[1] + 0.5) / (F.lit(total[1]) - seen[1] + 0.5)) - F.log((seen[0] + 0.5) / (F.lit(total[0]) - seen[0] + 0.5))
+    ratio = F.lit(0.0)
+    for k in (0, 1):
+        for cell, row in ((seen[k], seen[0] + seen[1]), (F.lit(total[k]) - seen[k], F.lit(sum(total)) - seen[0] - seen[1])):
+            ratio = ratio + F.when(cell > 0, 2 * cell * F.log(cell * F.lit(sum(total)) / (row * F.lit(total[k])))).otherwise(0.0)
+    may = counts.filter(seen[1] >= max(4, 0.002 * total[1])).select("name", odds.alias("odds"), F.round(ratio, 6).alias("ratio")).filter("odds > 2 AND ratio > 15")
+    best = may.orderBy(F.desc("ratio"), "name").limit(FEATURES).collect()
+    return {r["name"]: i for i, r in enumerate(best)}, np.array([r["odds"] for r in best])
+
+
+def encoded(rows: DataFrame, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature and value of all entries of the training documents, their labels and whether they are held out.
+
+    At most LABELLED rows of at most FEATURES numbers come to the driver.
     """
-    n = np.zeros((2, _SLOTS), np.float32)
-    for lo, part in _slices(texts):
-        words, code, owner = _coded_words(part)
-        cell = np.unique(owner.astype(np.int64) * max(len(words), 1) + code)
-        bad = toxic[lo + cell // max(len(words), 1)]
-        slots, word, _ = _slots(words)
-        for k in (0, 1):
-            by_word = np.bincount(cell[bad == bool(k)] % max(len(words), 1), minlength=len(words))
-            n[k] += np.bincount(slots, weights=by_word[word], minlength=_SLOTS).astype(np.float32)
-    total = np.array([(~toxic).sum(), toxic.sum()], float)
-    may = np.flatnonzero(n[1] >= max(4, 0.002 * total[1]))
-    seen = np.minimum(n[:, may].T.astype(float), total)
-    odds = np.log((seen[:, 1] + 0.5) / (total[1] - seen[:, 1] + 0.5)) - np.log((seen[:, 0] + 0.5) / (total[0] - seen[:, 0] + 0.5))
-    cells = np.stack([seen, total - seen], 2)
-    expected = cells.sum(1, keepdims=True) * (total / total.sum())[None, :, None]
-    ratio = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0).sum((1, 2))
-    good = np.flatnonzero((odds > 2) & (ratio > 15))
-    best = good[np.lexsort((may[good], -ratio[good]))[:FEATURES]]
-    number = np.full(_SLOTS, -1, np.int32)
-    number[may[best]] = np.arange(len(best))
-    names: dict[str, int] = {}
-    for _, part in _slices(texts):
-        slots, _, flat = _slots(_coded_words(part)[0])
-        chosen = number[slots]
-        names.update((flat[i], int(chosen[i])) for i in np.flatnonzero(chosen >= 0).tolist())
-    return names, odds[best]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, part in _slices(batch.column(1)):
+                text, feature, value = model.matrix(part)
+                at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(part)))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(part)) for i in (0, 2, 3)), *lists], names=["doc_id", "label", "held", "features", "values"])
+
+    got = rows.select("doc_id", "text", "label", "held").mapInArrow(lean(run), "doc_id long, label int, held boolean, features array<int>, values array<float>").toArrow()
+    # One order whatever the partitions, so that the model is the same in every run.
+    got = got.sort_by("doc_id").combine_chunks()
+    many = pc.list_value_length(got["features"]).to_numpy().astype(np.int64)
+    flat = [pc.list_flatten(got[c]).to_numpy() for c in ("features", "values")]
+    return np.repeat(np.arange(len(many)), many), flat[0].astype(np.int64), flat[1].astype(float), got["label"].to_numpy().astype(np.int64), got["held"].to_numpy()
 
 
 def derived_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, odds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -175,58 +217,49 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
     return p[0], np.cumsum(np.concatenate([p[1][:1], np.exp(p[1][1:])]))
 
 
-def train(texts: pa.Array, labels: np.ndarray) -> OrdinalModel:
-    """A model from texts and their labels (0: not toxic; 1, or grades from 1)."""
-    toxic = labels > 0
-    if toxic.all() or not toxic.any():
-        return OrdinalModel(thresholds=np.full(3, 500.0))
-    fold = np.random.default_rng(5).random(len(labels)) < 0.2
+def _cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut on probabilities with the best F1 on held-out documents; equal ones aren't parted."""
+    order = np.argsort(-p, kind="stable")
+    hit = np.cumsum(toxic[order])
+    score = 2 * hit / (np.arange(1, len(p) + 1) + toxic.sum())
+    score[:-1][p[order][:-1] == p[order][1:]] = 0
+    best = int(score.argmax())
+    below = p[order][best + 1] if best + 1 < len(p) else 0.0
+    return float(np.clip((p[order][best] + below) / 2, 0.05, 0.95))
 
-    def fitted(use: np.ndarray) -> OrdinalModel:
-        part, bad = texts.take(pa.array(np.flatnonzero(use))), toxic[use]
-        names, odds = choose_features(part, bad)
-        model = OrdinalModel(names, np.zeros(len(odds)))
-        cells = [(lo, model.matrix(x)) for lo, x in _slices(part)]
-        rows, cols, values = (np.concatenate(x) for x in zip(*[(lo + a, b, c) for lo, (a, b, c) in cells]))
-        grade = labels[use] if labels.max() > 1 else derived_grades(rows, cols, values, odds, bad)
-        model.weights, model.thresholds = fit_ordinal(rows, cols, values, grade.astype(np.int64), len(odds))
-        return model
 
-    def first(model: OrdinalModel, part: pa.Array) -> np.ndarray:
-        return np.concatenate([model.probabilities(x)[:, 0] for _, x in _slices(part)]) if len(part) else np.empty(0)
+def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = LABELLED) -> OrdinalModel:
+    """A model from at most ``most`` documents with labels (0: not toxic; 1, or grades from 1)."""
+    rows = labelled(docs, labels, label_col, most)
+    seen = {(r["held"], r["bad"]): r["n"] for r in rows.groupBy("held", (F.col("label") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = lambda bad, *held: sum(seen.get((h, bad), 0) for h in held)
+    if not n(True, True, False) or not n(False, True, False):
+        return OrdinalModel(thresholds=np.full(3, 500.0))
+    counts = written(feature_counts(rows), "features")
+
+    def fitted(parts: str, held: tuple[bool, ...]) -> tuple[OrdinalModel, np.ndarray, np.ndarray, np.ndarray]:
+        """A model of some documents, and first probabilities, labels and held of all."""
+        names, odds = choose_features(counts, n(False, *held), n(True, *held), parts)
+        model = OrdinalModel(names, np.zeros(len(names)))
+        text, feature, value, label, out = encoded(rows, model)
+        use = np.isin(out, held)
+        number = np.cumsum(use) - 1
+        own = use[text]
+        cells = number[text[own]], feature[own], value[own]
+        grade = label[use] if label.max() > 1 else derived_grades(*cells, odds, label[use] > 0)
+        model.weights, model.thresholds = fit_ordinal(*cells, grade.astype(np.int64), len(names))
+        linear = np.bincount(text, weights=value * model.weights[feature], minlength=len(label)) if len(names) else np.zeros(len(label))
+        return model, _sigmoid(linear - model.thresholds[0]), label > 0, out
 
     cut = 0.5
-    if 0 < toxic[fold].sum() < fold.sum() and 0 < toxic[~fold].sum() < (~fold).sum():
-        p, y = first(fitted(~fold), texts.take(pa.array(np.flatnonzero(fold)))), toxic[fold]
-        order = np.argsort(-p, kind="stable")
-        hit = np.cumsum(y[order])
-        score = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
-        score[:-1][p[order][:-1] == p[order][1:]] = 0  # a cut can't part equal probabilities
-        best = int(score.argmax())
-        below = p[order][best + 1] if best + 1 < len(p) else 0.0
-        cut = float(np.clip((p[order][best] + below) / 2, 0.05, 0.95))
-    model = fitted(np.ones(len(labels), bool))
+    if all(n(bad, held) for bad in (False, True) for held in (False, True)):
+        _, p, toxic, out = fitted("n", (False,))
+        cut = _cut(p[out], toxic[out])
+    model = fitted("nh", (False, True))[0]
     model.cut = cut
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> OrdinalModel:
-    label = F.max(F.col(label_col).cast("int")).alias("label")
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(label)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    # At most LABELLED rows of 12 bytes are broadcast.
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
-    # One order whatever the partitions, so that the model is the same in every run.
-    order = pc.sort_indices(got.append_column("size", pc.binary_length(got["text"])).select(["doc_id", "size"]), [("doc_id", "ascending"), ("size", "ascending")])
-    texts, labels = got["text"].take(order).combine_chunks(), got["label"].take(order).to_numpy().astype(np.int64)
-    del got
-    release()
-    model = train(texts, labels)
-    release()
-    return model
-
-
 SCORED = "p_toxic double, severity double, grade int, rejected boolean"
 
 
@@ -240,7 +273,8 @@ def score(docs: DataFrame, model: OrdinalModel, *keep: str) -> DataFrame:
             more = [pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1), pa.int32()), pa.array(p[:, 0] >= model.cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, "p_toxic", "severity", "grade", "rejected"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(lean(run), ", ".join([*kinds, SCORED]))
+    name = next(n for k in range(len(keep) + 1) if (n := f"text{k}") not in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias(name)).mapInArrow(lean(run), ", ".join([*kinds, SCORED]))
 
 
 def without_rejected(docs: DataFrame, model: OrdinalModel) -> DataFrame:

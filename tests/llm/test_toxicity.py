@@ -1,10 +1,11 @@
+import math
 import random
+import re
 
 import numpy as np
-import pyarrow as pa
 
 from facetmill.llm.queries import QUERIES
-from facetmill.llm.toxicity import OrdinalModel, fit_ordinal, score, train, train_on, without_rejected
+from facetmill.llm.toxicity import OrdinalModel, choose_features, feature_counts, fit_ordinal, labelled, score, train_on, without_rejected
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -45,10 +46,51 @@ def test_shared_weights_and_ordered_thresholds():
     assert w[0] > 0 and (np.diff(t) > 0).all() and np.allclose(t / w[0], [1, 2, 3], atol=0.3)
 
 
-def test_given_grades_are_used():
-    texts = pa.array([("bad " * k + "plain words here") for k in [0, 0, 0, 1, 2, 4] * 40])
-    model = train(texts, np.array([0, 0, 0, 1, 2, 2] * 40))
+def test_given_grades_are_used(spark, docs_of):
+    grades = [0, 0, 0, 1, 2, 2] * 40
+    docs = docs_of([(i, "bad " * 2 * g + "plain words here") for i, g in enumerate(grades)])
+    labels = spark.createDataFrame([(i, 1, g, "") for i, g in enumerate(grades)], LABELS)
+    model = train_on(docs, labels)
     assert len(model.thresholds) == 2
+    got = {r.doc_id: r.severity for r in score(docs, model, "doc_id").collect()}
+    assert got[0] < got[3] < got[4]
+
+
+def slow_features(text):
+    """Counts of features, word by word."""
+    out = {}
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        for f in [w, *[w[:k] + "~" for k in (4, 5, 6) if len(w) >= k]]:
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_scores_against_plain_computation(spark, docs_of):
+    rows, labels = corpus(400)
+    rows += [(5000, None), (5001, ""), (5002, "Grobzak! GROBZAK, lomperden " * 400), (3, rows[3][1])]
+    docs = docs_of(rows)
+    model = train_on(docs, spark.createDataFrame(labels, LABELS))
+    got = sorted((r.doc_id, r.p_toxic, r.severity, r.grade, r.rejected) for r in score(docs, model, "doc_id").collect())
+    for (i, p, severity, grade, rejected), (j, text) in zip(got, sorted(rows, key=lambda r: r[0])):
+        linear = sum(model.weights[model.names[f]] * math.log1p(c) for f, c in slow_features(text or "").items() if f in model.names)
+        own = [1 / (1 + math.exp(min(700, t - linear))) for t in model.thresholds]
+        assert i == j and abs(p - own[0]) < 1e-9 and abs(severity - sum(own)) < 1e-9
+        assert grade == sum(x > 0.5 for x in own) and rejected == (p >= model.cut)
+
+
+def test_features_are_counted_by_exact_name(spark, docs_of):
+    rows, labels = corpus(300)
+    train = labelled(docs_of([*rows, (3, "another text of the same id")]), spark.createDataFrame(labels, LABELS), "toxic", 200)
+    kept = train.collect()
+    assert len(kept) == len({r.doc_id for r in kept}) == 200
+    want = {}
+    for r in kept:
+        for f in slow_features(r.text):
+            want.setdefault(f, [0] * 4)[(r.label > 0) + 2 * r.held] += 1
+    counts = feature_counts(train)
+    assert {r.name: [r.n0, r.n1, r.h0, r.h1] for r in counts.collect()} == want
+    names, odds = choose_features(counts, sum(not r.label for r in kept), sum(r.label for r in kept), "nh")
+    assert len(names) == len(odds) and all(want[f][1] + want[f][3] >= 4 for f in names)
 
 
 def test_without_both_kinds_nothing_is_rejected(spark, docs_of):
@@ -63,6 +105,7 @@ def test_without_both_kinds_nothing_is_rejected(spark, docs_of):
 def test_rejected_rows_go_and_columns_stay(spark, docs_of):
     model = OrdinalModel({"bad": 0}, np.array([9.0]), np.array([1.0, 2.0]), 0.5)
     docs = docs_of([(1, "so bad"), (2, "fine"), (3, None)])
+    assert sorted(score(docs.withColumnRenamed("size", "text0"), model, "doc_id", "text0").collect())[0].rejected
     out = without_rejected(docs, model)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
 
