@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
 
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s)", r"(?:\s?\.\s?|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 _GENERATORS = (
-    ("email", re.compile(rf"(?<![\w.%+-])[A-Za-z0-9_%+-]{{1,64}}+(?:\.[A-Za-z0-9_%+-]{{1,64}})*{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}", re.I)),
+    ("email", re.compile(rf"(?<![\w.%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+{_AT}(?P<domain>[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+)", re.I)),
     ("phone", re.compile(r"(?<![\w.+-])(?:\(\d{2,5}\)|00\d{1,3}|\d{2,5})(?:[\x20./-]{1,2}\d{2,5}){1,5}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+-])\d{10,11}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])\d{4}(?:[\x20.\-/]{1,2}\d{3,6}){2,4}(?![\w-])")),
@@ -100,10 +100,19 @@ _HINTS = {
 _AGAINST = re.compile(r"(?:\b(?:version|release|order|invoice|isbn|page|chapter|section|year|room|total|price|serial|part|item|build|ticket|ref|id|lot|code)\b\W*(?:\w+\W+){0,1}|[#$€£=/])$", re.I)
 _DATE = re.compile(r"^(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})")
 _TLDS = {"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us"}
+#: Where a spelled-out domain may end although what follows looks like more of it.
+_TLD_END = re.compile(rf"{_DOT}(?:{'|'.join(sorted(_TLDS))})(?![A-Za-z0-9-])", re.I)
 
 
 def candidates(text: str) -> list[Span]:
-    return [(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
+    """Spans of all generators; they may overlap."""
+    out: list[Span] = []
+    for kind, pattern in _GENERATORS:
+        for m in pattern.finditer(text):
+            out.append((kind, *m.span()))
+            if kind == "email" and (end := _TLD_END.search(text, m.start("domain"), m.end())) and end.end() < m.end():
+                out.append((kind, m.start(), end.end()))
+    return out
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -240,7 +249,7 @@ def _examples(seed: int, n: int) -> list[tuple[str, Span, int]]:
         loose = kind == "phone" and body.isdigit()
         lead = pick(hint[kind]) if label and (loose or rng.random() < 0.5) else pick(against) if not label and (loose or rng.random() < 0.5) else word()
         before = f"{word()} {word()} {lead} "
-        text = f"{before}{body} {word()} {word()}"
+        text = f"{before}{body}{pick([' ', ' ', ' ', '. '])}{word()} {word()}"
         for span in candidates(text):
             if span[0] == kind and span[1] < len(before) + len(body) and span[2] > len(before):
                 whole = span[1] == len(before) and span[2] == len(before) + len(body)

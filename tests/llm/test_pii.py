@@ -45,7 +45,7 @@ def test_base_spans_of_edge_cases(text):
     assert pii.base_spans(text) == brute_force(text)
 
 
-@pytest.mark.parametrize("text", ["a" * 200_000 + "@", "9" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "a.b at " * 30_000, "(1) " * 50_000])
+@pytest.mark.parametrize("text", ["a" * 200_000 + "@", "9" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "a.b at " * 30_000, "(1) " * 50_000, "a at b" + ".c" * 100_000, "a at b dot com " * 20_000, "a" * 100_000 + " at " + "b" * 100_000])
 def test_time_is_linear(text):
     began = time.time()
     pii.base_spans(text)
@@ -61,13 +61,13 @@ def models():
 def test_held_out_accuracy(models):
     import numpy as np
 
-    right = wrong = missed = 0
-    for text, span, label in pii._examples(999, 2000):
+    counts = {k: [0, 0, 0] for k in pii.KINDS}
+    for text, span, label in pii._examples(999, 4000):
         chosen = models[span[0]].score(np.array([pii.features(text, span)], float))[0] >= models[span[0]].threshold
-        right += chosen and label
-        wrong += chosen and not label
-        missed += label and not chosen
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.6
+        right, wrong, missed = bool(chosen and label), bool(chosen and not label), bool(label and not chosen)
+        counts[span[0]] = [a + b for a, b in zip(counts[span[0]], (right, wrong, missed))]
+    for kind, (right, wrong, missed) in counts.items():
+        assert right / (right + wrong) > 0.94 and right / (right + missed) > 0.8, (kind, right, wrong, missed)
 
 
 def test_candidates_join_base_spans(models):
@@ -115,6 +115,21 @@ def test_empty_table(spark, docs_of, sf_dir):
     assert QUERIES["op5_personal_data"](spark, sf_dir(documents=docs_of([]))).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["john", "a.b", "x", " ", "\n", "\xa0", "\u2003", "\x1c", "at", "AT", "@", "(", ")", "[", "{", "}", "dot", ".", "com", "org", "1", "555", "0123456789", "-", "+", "٣", "é", "/"]), max_size=24))
+def test_the_prefilter_changes_nothing(models, parts):
+    text = "".join(parts)
+    (_, base, spans), = pii._by_text(pa.array([text]), models)
+    assert base == pii.base_spans(text) and spans == pii.all_spans(text, base, models)
+
+
+def test_long_addresses_and_those_before_a_sentence_are_proposed(models):
+    long = "a" * 80 + ".b at " + " dot ".join(["c"] * 7) + " dot com"
+    assert ("email", 0, len(long)) in pii.candidates(long)
+    text = "write to jan.kok at mail dot org. Then wait. Or call"
+    assert [text[a:b] for _, a, b in pii.all_spans(text, [], models)] == ["jan.kok at mail dot org"]
+
+
 def test_prefilter_lets_all_candidates_through():
     spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
     texts = [f"write to john{s}at{s}example dot com" for s in spaces] + [f"john{s}AT example dot com" for s in spaces]
