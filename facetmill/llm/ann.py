@@ -25,7 +25,8 @@ from .shared import written
 from .worker import lean
 
 #: Bounds of what is fitted on the driver: vectors of the sample, parts, neighbours in the graph.
-SAMPLE, MOST_PARTS, DEGREE = 8192, 64, 10
+SAMPLE, MOST_PARTS, DEGREE = 8192, 256, 10
+#: Vectors, and queries, that meet in one task.
 _CHUNK = 8192
 
 
@@ -245,12 +246,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(part, pa.int32())], names=["query_id", "query", "part"])
 
-    queries = vectors.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"))
+    queries = written(vectors.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query")), "queries")
     routed = queries.mapInArrow(lean(route), "query_id long, query array<double>, part int")
-    # A part with many vectors is searched in chunks, each by all queries that come to the part.
+    # A part with many vectors is searched in chunks, and so are its queries: a task has a chunk of both.
     chunks = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // _CHUNK))) for n in held]), F.col("part") + 1)
-    routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = indexed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int"))
+    asks = max(1, -(-queries.count() // _CHUNK))
+    routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("ask", F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(asks)).cast("int"))
+    dealt = indexed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
 
     def search(found: pa.Table, asked: pa.Table) -> pa.Table:
         if len(found) and len(asked):
@@ -260,6 +262,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         columns = list(zip(*got)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    best = dealt.groupBy("part", "chunk").cogroup(routed.groupBy("part", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
+    best = dealt.groupBy("part", "chunk", "ask").cogroup(routed.groupBy("part", "chunk", "ask")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

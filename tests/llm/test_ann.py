@@ -66,3 +66,12 @@ def test_equal_vectors_go_by_id():
     x = np.tile(np.array([[0.1, 0.7]]), (50, 1))
     got = top_of_chunk(np.arange(50)[::-1].copy(), x, np.array([3]), x[:1], 4)
     assert [j for _, j, _ in got] == [0, 1, 2, 4]
+
+
+def test_chunks_of_vectors_and_queries_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(400)]
+    asked = F.col("vec_id") % 5 == 0
+    whole = sorted(nearest(table(spark, rows), asked, 4).collect())
+    monkeypatch.setattr("facetmill.llm.ann._CHUNK", 30)
+    assert sorted(nearest(table(spark, rows), asked, 4).collect()) == whole and len(whole) == 320
