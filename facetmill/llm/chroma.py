@@ -6,16 +6,17 @@ which an integral image gives in four reads each; each result becomes two bits (
 position has a packed 32-bit number.
 
 For alignment a recording's positions vote for (recording, offset) over all recordings with a smaller
-id and all positions there that hold their numbers; most votes win, ties going to the smaller id, then
-the smaller offset. An alignment takes LEAST_VOTES votes (numbers agree by chance), or all positions of an
-exact copy. So each pair is compared once, for its larger id. The share of differing bits over the overlap
-tells how well the two agree. The result is that of trying every pair and offset, by these steps:
-recordings with the same numbers are one class; the first holder of most of a class's numbers is compared
-with it; a better one has to hold more of its numbers than the commonest ones, as many as are too few
-for that, so only holders of the others are compared. So neither numbers that a third of all
-recordings share nor large groups of near copies, whose first one holds what they have in common, make
-pairs. Many different recordings that share several common numbers, and no first holder that has
-as many of them, remain quadratic in their number.
+id and all positions there that hold their number and the next one (single numbers agree by chance);
+most votes win, ties going to the smaller id, then the smaller offset. An alignment takes LEAST_VOTES
+votes, or all of an exact copy. The share of differing bits over the overlap tells how well the two agree.
+
+The result is that of trying every pair and offset. Recordings with the same numbers are one class. The
+first holder of most of a class's pairs of neighbouring numbers is compared with it. A better one has
+to hold more of its pairs than the commonest ones, as many as are too few for that, so only holders of
+the others are compared. So neither pairs that a third of all recordings share nor large groups of near
+copies, whose first one holds what they have in common, make pairs of recordings. Many different
+recordings that share several common pairs, and no first holder that has as many of them, remain
+quadratic in their number.
 
 Media is raw PCM: unsigned 8-bit or little-endian signed 16-bit, one channel. Edge cases: null or
 empty media has no fingerprint and no alignment; media shorter than a frame is padded with silence;
@@ -49,7 +50,7 @@ _FRAMES_AT_ONCE = 4096
 #: Holders of a number that meet in one task.
 SLICE = 4096
 #: Votes that an alignment takes.
-LEAST_VOTES = 4
+LEAST_VOTES = 3
 _VOTES_AT_ONCE = 4 << 20
 
 
@@ -177,18 +178,25 @@ def fingerprint_table(rows: DataFrame, media: Column, id_col: str, bits: int = 8
     return rows.select(F.col(id_col).cast("long"), media.cast("binary")).mapInArrow(lean(run), schema)
 
 
+def in_pairs(numbers: np.ndarray) -> np.ndarray:
+    """Each number with the next, as one 64-bit number."""
+    return (numbers[:-1].astype(np.int64) << 32) | (numbers[1:].astype(np.int64) & 0xFFFFFFFF)
+
+
 def best_offset(own: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
     """Most votes of all offsets, the smallest such offset, its overlap and the share of differing bits there.
 
-    Position p of ``own`` lies at position p + offset of ``other``; a position votes for each that holds its number.
+    Position p of ``own`` lies at position p + offset of ``other``; a position votes for each that
+    holds its number and the next one. Both have two numbers at least.
     """
-    order = np.argsort(other, kind="stable")
-    ranked = other[order]
-    low, high = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
+    asks, holds = in_pairs(own), in_pairs(other)
+    order = np.argsort(holds, kind="stable")
+    ranked = holds[order]
+    low, high = np.searchsorted(ranked, asks, "left"), np.searchsorted(ranked, asks, "right")
     upto = np.concatenate([[0], np.cumsum(high - low)])
     votes = np.zeros(len(own) + len(other) - 1, np.int64)
     at = 0
-    while at < len(own):  # a bounded number of votes at once
+    while at < len(asks):  # a bounded number of votes at once
         to = max(at + 1, int(np.searchsorted(upto, upto[at] + _VOTES_AT_ONCE, "right")) - 1)
         many = high[at:to] - low[at:to]
         position = np.repeat(np.arange(at, to), many)
@@ -234,49 +242,49 @@ def _best(found: DataFrame, key: str) -> DataFrame:
 
 
 def _numbers(classes: DataFrame) -> DataFrame:
-    """k, least, n, number and how many positions hold it, for each distinct number of a class."""
+    """k, least, n, pair and how many positions hold it, for each distinct pair of neighbouring numbers of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, bounds = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            made = [np.unique(flat[a:b], return_counts=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            made = [np.unique(in_pairs(flat[a:b]), return_counts=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             row = pa.array(np.repeat(np.arange(len(made)), [len(x) for x, _ in made]))
             number, times = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.diff(bounds), pa.int32()).take(row), pa.array(number, pa.int32()), pa.array(times, pa.int32())],
-                names=["k", "least", "n", "number", "times"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.diff(bounds) - 1, pa.int32()).take(row), pa.array(number, pa.int64()), pa.array(times, pa.int32())],
+                names=["k", "least", "n", "pair", "times"],
             )
 
-    return classes.select("k", "least", "numbers").mapInArrow(lean(run), "k long, least long, n int, number int, times int")
+    return classes.select("k", "least", "numbers").mapInArrow(lean(run), "k long, least long, n int, pair long, times int")
 
 
 def best_partners(classes: DataFrame, least_votes: int) -> DataFrame:
     """FOUND of each class: the best of all classes with a smaller id and all offsets, with ``least_votes`` at least."""
     entries = written(_numbers(classes), "entries")
-    known = entries.groupBy("number").agg(F.count(F.lit(1)).alias("held"), F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
-    shared = written(entries.join(written(known.drop("last"), "known"), "number"), "shared")
+    known = entries.groupBy("pair").agg(F.count(F.lit(1)).alias("held"), F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
+    shared = written(entries.join(written(known.drop("last"), "known"), "pair"), "shared")
     voting = shared.filter("first < least")
-    # The class that comes first with most of a class's numbers is compared at once: what it gets bounds all others.
+    # The class that comes first with most of a class's pairs is compared at once: what it gets bounds all others.
     guess = voting.groupBy("k", "first").agg(F.sum("times").alias("most")).groupBy("k").agg(F.max(F.struct("most", (-F.col("first")).alias("first"))).alias("g"))
     pairs = guess.select("k", (-F.col("g.first")).alias("least")).join(classes.select(F.col("k").alias("other"), "least"), "least").select("k", "other")
     guessed = written(_best(compared(pairs, classes), "k"), "guessed")
-    # A better class has more votes, or as many and a smaller id. So it holds more of the class's numbers than
+    # A better class has more votes, or as many and a smaller id. So it holds more of the class's pairs than
     # the commonest ones that together are too few for that; those aren't asked for.
     have = F.col("votes")
     more = F.greatest(have + 1, F.lit(least_votes).cast("long"))
     ranked = voting.join(guessed.select("k", "votes", "aligned_to"), "k").withColumn("smaller", F.col("first") < F.col("aligned_to"))
-    commonest = Window.partitionBy("k").orderBy(F.desc("held"), "number")
+    commonest = Window.partitionBy("k").orderBy(F.desc("held"), "pair")
     upto = ranked.withColumn("upto", F.sum("times").over(commonest.rowsBetween(Window.unboundedPreceding, 0)))
     early = F.when(F.col("smaller"), F.col("times")).otherwise(0)
     upto = upto.withColumn("early", F.sum(early).over(commonest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all_early", F.sum(early).over(Window.partitionBy("k")))
     by_votes = F.col("upto") >= more
     by_id = F.col("smaller") & (have >= least_votes) & (F.col("all_early") >= have) & (F.col("early") >= have)
     slices = F.ceil(F.col("held") / SLICE).cast("int")
-    asked = upto.filter(by_votes | by_id).select("k", "number", "held", "n", F.when(by_votes, F.col("least")).otherwise(F.col("aligned_to")).alias("below"), F.when(by_id, have).otherwise(more).alias("need"))
+    asked = upto.filter(by_votes | by_id).select("k", "pair", "held", "n", F.when(by_votes, F.col("least")).otherwise(F.col("aligned_to")).alias("below"), F.when(by_id, have).otherwise(more).alias("need"))
     # Holders of a common number are dealt into slices, so that none is one task's work.
     asked = asked.filter(F.col("n") >= F.col("need")).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    holders = shared.select("number", F.col("k").alias("other"), F.col("least").alias("other_least"), F.col("n").alias("other_n"), F.pmod(F.xxhash64("k"), slices).cast("int").alias("slice"))
-    close = asked.select("k", "number", "slice", "below", "need").join(holders, ["number", "slice"]).filter((F.col("other_least") < F.col("below")) & (F.col("other_n") >= F.col("need")))
+    holders = shared.select("pair", F.col("k").alias("other"), F.col("least").alias("other_least"), F.col("n").alias("other_n"), F.pmod(F.xxhash64("k"), slices).cast("int").alias("slice"))
+    close = asked.select("k", "pair", "slice", "below", "need").join(holders, ["pair", "slice"]).filter((F.col("other_least") < F.col("below")) & (F.col("other_n") >= F.col("need")))
     pairs = written(close.select("k", "other").distinct(), "pairs")
     return _best(guessed.unionByName(compared(pairs, classes)).filter(F.col("votes") >= least_votes), "k")
 
@@ -290,9 +298,9 @@ def align(prints: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
     # Equal numbers are one class, known by its smallest id.
     classes = recordings.groupBy("key").agg(F.min("rec_id").alias("least"), F.first("numbers").alias("numbers"))
     classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
-    members = written(recordings.select("rec_id", "key").distinct().join(classes.select("key", "k", "least", F.size("numbers").alias("n")), "key").drop("key"), "members")
+    members = written(recordings.select("rec_id", "key").distinct().join(classes.select("key", "k", "least", F.greatest(F.size("numbers") - 1, F.lit(1)).alias("n"), F.size("numbers").alias("whole")), "key").drop("key"), "members")
     best = written(best_partners(classes, least_votes), "best")
     found = members.join(best, "k").select("rec_id", *best.columns[1:])
     # A copy agrees with its class at all positions; nothing has more votes, and no id between has as many and comes first.
-    copies = members.filter("rec_id > least").select("rec_id", F.col("n").cast("long").alias("votes"), F.col("least").alias("aligned_to"), F.lit(0).alias("offset"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
+    copies = members.filter("rec_id > least").select("rec_id", F.col("n").cast("long").alias("votes"), F.col("least").alias("aligned_to"), F.lit(0).alias("offset"), F.col("whole").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
     return _best(found.unionByName(copies), "rec_id").select("rec_id", "aligned_to", "offset", "votes", "overlap", "bit_error_rate")
