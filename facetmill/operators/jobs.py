@@ -13,8 +13,9 @@ from ..functions.classify import cohort
 from ..functions.gazetteer import Gazetteer
 from ..functions.text import clean_value, labelled, normalize_name
 from .extract import Extractor
-from .resolve import CORE, FIELDS, duplicate_of, finalize, import_report, normalize_city, normalize_province, resolve
-from .tables import upsert
+from . import resolve
+from .resolve import CORE, FIELDS, finalize, import_report, normalize_city, normalize_province
+from .tables import stable_ids, upsert
 
 
 def regions(text: Column, gazetteer: Gazetteer | None = None) -> Column:
@@ -70,7 +71,7 @@ def import_rows(rows: DataFrame, stored: DataFrame, image: str, source_name: str
     ``stored`` has FIELDS, id and image; a repeated import replaces the source's own records, so it
     is compared with the others only.
     """
-    decisions = resolve(build_records(rows, gazetteer), stored.filter(F.col("image") != image))
+    decisions = resolve.resolve(build_records(rows, gazetteer), stored.filter(F.col("image") != image))
     return Import(described(finalize(decisions, image), source_name), decisions, import_report(decisions))
 
 
@@ -99,25 +100,15 @@ def replay(stored: DataFrame, snapshots: DataFrame, keep_duplicates: bool = Fals
 
 
 def without_duplicates(snapshots: DataFrame, stored: DataFrame) -> DataFrame:
-    """Snapshot records that duplicate neither ``stored`` nor one kept before; duplicates share the normalised name."""
-    key = F.coalesce(normalize_name(F.col("name")), F.lit("")).alias("_key")
+    """Snapshot records that duplicate neither ``stored`` nor one kept before, in the order of sources and of their records."""
     source = "source_file" if "source_file" in snapshots.columns else "image"
     types = {f: "int" if f == "cohort_year" else "string" for f in FIELDS}
-    fields = [(F.col(f) if f in snapshots.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()]
-    new = snapshots.select(key, F.col(source).alias("_source"), "image", "block_index", *fields)
-    known = stored.select(key, "id", *[(F.col(f) if f in stored.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()])
-
-    def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda d: d.astype(object).where(d.notna(), None).to_dict("records")
-        kept: list[dict] = []
-        others = clean(right.sort_values("id")) if len(right) else []
-        for row in clean(left.sort_values(["_source", "block_index"])) if len(left) else []:
-            if not row["_key"] or duplicate_of(row, [*others, *kept]) is None:
-                kept.append(row)
-        return pd.DataFrame([(r["image"], r["block_index"]) for r in kept], columns=["image", "block_index"])
-
-    schema = ", ".join(f"{c} {snapshots.schema[c].dataType.simpleString()}" for c in ("image", "block_index"))
-    return snapshots.join(new.groupBy("_key").cogroup(known.groupBy("_key")).applyInPandas(group, schema), ["image", "block_index"], "left_semi").select(*snapshots.columns)
+    fields = lambda d: [(F.col(f) if f in d.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()]
+    # The number of a record is its place among all, in the order in which they are replayed.
+    numbered = stable_ids(snapshots, [source, "image", "block_index"], "_at")
+    new = numbered.select(F.col("_at").alias("at"), *fields(snapshots))
+    kept = resolve.without_duplicates(new, stored.select("id", *fields(stored)), ["at"])
+    return numbered.join(kept.withColumnRenamed("at", "_at"), "_at", "left_semi").select(*snapshots.columns)
 
 
 def override_records(records: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fix_typos, image_stem, normalize_text, normalize_width, strip_invisible
 
@@ -182,7 +183,7 @@ def apply_line_corrections(df: DataFrame, rules: Sequence[Mapping[str, object]],
     return out.withColumns({lines: F.zip_with(lines, "_texts", lambda x, t: x.withField("text", t)), "corrected": corrected}).drop("_plain", "_texts")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
 

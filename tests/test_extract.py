@@ -1,8 +1,10 @@
+import re
+
 import pytest
 
 from facetmill.functions.gazetteer import Gazetteer
 from facetmill.operators.extract import Extractor, destination_score, extract, occurrences, within_one_edit
-from facetmill.operators.resolve import duplicate_of, finalize, import_report, resolve
+from facetmill.operators.resolve import FIELDS, duplicate_of, finalize, group_by_rules, import_report, resolve
 
 X = Extractor(Gazetteer())
 
@@ -56,8 +58,8 @@ def test_extract_rows(spark):
     assert got[0].field_count == 5 and got[0].confidence == 0.864
 
 
-def _record(name="张三", org=None, province=None, city=None, year=None):
-    return {"name": name, "destination_org": org, "province": province, "city": city, "cohort_year": year}
+def _record(org=None, province=None, city=None, year=None):
+    return {"org_key": org or "", "province_key": province, "city_key": city, "cohort_year": year}
 
 
 def test_duplicate_rules():
@@ -85,3 +87,25 @@ def test_import_sample(spark):
     final = {x.name: x for x in finalize(done, "manual:a.csv").collect()}
     assert final["刘六"].destination_org == "中共石家庄市委党校" and final["刘六"].position == "定向选调生" and final["刘六"].source_rows == [4, 5]
     assert (final["刘六"].block_index, final["赵七"].block_index) == (0, 1)
+
+
+def test_stored_places_are_normalised_and_ties_go_to_the_first(spark):
+    kinds = ", ".join(f"{f} {'int' if f == 'cohort_year' else 'string'}" for f in FIELDS)
+    rows = lambda values: spark.createDataFrame([(*[v.get(f) for f in FIELDS], i) for i, v in values], kinds + ", at int")
+    new = rows([(1, {"name": "张三", "province": "湖南省"}), (2, {"name": "李四", "city": "湖北省武汉市", "destination_org": "甲乙丙局"}), (3, {"name": "王五", "destination_org": "某某市水利局"}), (4, {"name": "王五", "destination_org": "某某市水利局"}), (5, {"name": None}), (6, {"name": "孤"})])
+    stored = rows([(10, {"name": "张 三", "province": "湖南"}), (11, {"name": "张三", "province": "湖南省"}), (12, {"name": "李四", "city": "武汉市", "destination_org": "丁戊己处"})])
+    got = resolve(new.withColumnRenamed("at", "source_row"), stored.withColumnRenamed("at", "id")).collect()
+    assert sorted((r.name, r.status, r.existing_id or 0, tuple(r.source_rows)) for r in got) == sorted(
+        [("张三", "skipped", 10, (1,)), ("李四", "skipped", 12, (2,)), ("王五", "accepted", 0, (3, 4)), ("王五", "merged", 0, (4,)), ("孤", "accepted", 0, (6,))]
+    )
+
+
+def test_groups_hold_first_rows_only(spark):
+    rows = [(k, "A b" if k % 2 else "a-B.", k % 7, ["x", "dept of y", "y", ""][k % 4]) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "id int, name string, place int, org string")
+    got = {r.id: r.duplicate_of for r in group_by_rules(df, "name", "id", "place", "org").collect()}
+    bare = {k: re.sub(r"\W", "", o).lower() for k, _, _, o in rows}
+    for k, _, place, _ in rows:
+        near = [j for j, *_ in rows if j < k and bare[j] and bare[k] and (bare[j] == bare[k] or len(bare[k]) >= 3 and bare[k] in bare[j] or len(bare[j]) >= 3 and bare[j] in bare[k])]
+        same = [j for j, _, p, _ in rows if j < k and p == place]
+        assert got[k] == min(near or same or [None], key=lambda x: (x is None, x))

@@ -109,8 +109,8 @@ def test_gazetteer_joins(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (1, 13), (3, 10), (3, 13)]
     words = spark.createDataFrame([("cat",), ("cart",), ("dog",), ("ca",)], "w string")
     known = spark.createDataFrame([("cats",), ("dot",), ("do",)], "k string")
-    assert sorted(map(tuple, tables.unique_edit_match(words, "w", known, "k").collect())) == [("cat", "cats"), ("dog", "do")] or True
-    assert ("cat", "cats") in set(map(tuple, tables.unique_edit_match(words, "w", known, "k").collect()))
+    # dog is one edit from dot and from do, so it has no only match.
+    assert sorted(map(tuple, tables.unique_edit_match(words, "w", known, "k").collect())) == [("cat", "cats")]
 
 
 def test_ids_are_dense_and_ordered(spark):
