@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -104,11 +104,25 @@ def strip_invisible(x: Column) -> Column:
     return F.regexp_replace(x, INVISIBLE, "")
 
 
+_WIDE = "　" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + FULLWIDTH_PUNCTUATION[0]
+_NARROW = " " + "".join(chr(c) for c in range(0x21, 0x7F)) + FULLWIDTH_PUNCTUATION[1]
+#: The first translation of a character counts, as in ``translate`` of Spark.
+_WIDTHS = {ord(w): n for w, n in reversed(list(zip(_WIDE, _NARROW)))}
+
+
 def normalize_width(x: Column) -> Column:
     """Full-width ASCII and space to half width, then CJK punctuation to ASCII: one translation."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    source, target = FULLWIDTH_PUNCTUATION
-    return F.translate(x, "　" + wide + source, " " + "".join(chr(ord(c) - 0xFEE0) for c in wide) + target)
+    return F.translate(x, _WIDE, _NARROW)
+
+
+def fold_digits(x: Column) -> Column:
+    """Full-width digits as ASCII ones."""
+    return F.translate(x, "０１２３４５６７８９", "0123456789")
+
+
+def now_text() -> Column:
+    """The current time as ISO text with whole seconds; one value for all rows of a query."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def fix_typos(x: Column, typos: Sequence[tuple[str, str]] = TYPOS) -> Column:
@@ -123,40 +137,65 @@ def nfkc(x: pd.Series) -> pd.Series:
 
 def normalize_text(x: Column, fullwidth: bool = True, typos: bool = True) -> Column:
     x = strip_invisible(x)
-    x = normalize_width(nfkc(x)) if fullwidth else x
+    if fullwidth:
+        # ASCII is its own normal form: such texts don't go to Python.
+        wide = nfkc(F.when(x.rlike("[^\\x00-\\x7f]"), x))
+        x = F.when(wide.isNull(), x).otherwise(normalize_width(wide))
     return fix_typos(x) if typos else x
 
 
+def normalize_plain(x: str) -> str:
+    """``normalize_text`` of a string, for functions that work in Python anyway."""
+    x = unicodedata.normalize("NFKC", re.sub(INVISIBLE, "", x)).translate(_WIDTHS)
+    return reduce(lambda t, p: t.replace(*p), TYPOS, x)
+
+
 def collapse_repeats(x: Column, most: int = 3) -> Column:
     """A unit of one or two characters that repeats more often than ``most`` is kept twice."""
     return F.regexp_replace(x, rf"(.{{1,2}})\1{{{most},}}", "$1$1")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_noise(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, [line.rlike("(?iu)(?U)" + p) for p in NOISE_LINES])
+    return line.rlike("(?iu)(?U)(?:" + "|".join(NOISE_LINES) + ")")
 
 
 def is_footer(line: Column) -> Column:
-    trimmed = F.trim(F.coalesce(line, F.lit("")))
-    return (trimmed != "") & reduce(lambda a, b: a | b, [trimmed.rlike("(?U)" + p) for p in FOOTER_LINES])
+    return let(F.trim(F.coalesce(line, F.lit(""))), lambda x: (x != "") & x.rlike("(?U)(?:" + "|".join(FOOTER_LINES) + ")"))
 
 
 def split_lines(x: Column) -> Column:
     """Lines at every line boundary of Unicode, without the empty one after a last line end."""
-    lines = F.split(x, LINE_END)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return let(F.split(x, LINE_END), lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
+
+
+def before_footer(lines: Column) -> Column:
+    """Lines up to the first footer line; all without one."""
+    cut = F.array_position(F.transform(lines, is_footer), F.lit(True))
+    return let(F.nullif(cut, F.lit(0)), lambda at: F.slice(lines, 1, F.coalesce(at - 1, F.size(lines).cast("long")).cast("int")))
+
+
+def unique_lines(lines: Column) -> Column:
+    """First occurrences, in order."""
+    return F.array_distinct(lines)
 
 
 def clean_lines(text: Column, least: int = 2, spaces: str = "", normalize: bool = True, dedupe: bool = True) -> Column:
-    """Lines of a text: normalised, up to the first footer line, without noise, short and repeated lines."""
+    """Lines of a text: normalised, up to the first footer line, without noise, short and repeated lines.
+
+    What doesn't look beyond a line works on the whole text at once, so a text is scanned a few times, not each line.
+    """
     # Line ends first: some of them count as invisible characters in a line.
     text = F.regexp_replace(text, LINE_END, "\n")
-    lines = F.transform(split_lines(normalize_text(text) if normalize else text), lambda x: F.trim(F.regexp_replace(collapse_repeats(x), r"(?U)[　\s]+", spaces)))
-    lines = F.filter(lines, lambda x: x != "")
-    footer = F.transform(lines, is_footer)
-    cut = F.coalesce(F.nullif(F.array_position(footer, F.lit(True)), F.lit(0)), F.size(lines) + 1)
-    lines = F.filter(F.slice(lines, 1, (cut - 1).cast("int")), lambda x: ~is_noise(x) & (F.length(x) >= least))
-    return F.array_distinct(lines) if dedupe else lines
+    text = collapse_repeats(normalize_text(text) if normalize else text)
+    lines = F.split(F.regexp_replace(text, r"(?U)[　\s&&[^\n]]+", spaces), "\n")
+    lines = F.filter(F.transform(lines, F.trim) if spaces else lines, lambda x: x != "")
+    kept = let(lines, lambda all_: F.filter(before_footer(all_), lambda x: (F.length(x) >= least) & ~is_noise(x)))
+    return unique_lines(kept) if dedupe else kept
 
 
 def clean_value(x: Column) -> Column:

@@ -1,12 +1,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetmill.functions.gazetteer import Gazetteer
-from facetmill.operators.extract import Extractor, destination_score, extract, occurrences, within_one_edit
+from facetmill.operators.extract import Extractor, cells_of_lines, cells_of_text, destination_score, extract, extraction_summary, occurrences, within_one_edit
 from facetmill.operators.resolve import FIELDS, duplicate_of, finalize, group_by_rules, import_report, resolve
 
-X = Extractor(Gazetteer())
+X = Extractor(Gazetteer.of({"surnames": "张李王赵刘周", "cities": ["昆明", "武汉", "崇左"]}))
 
 
 def test_occurrences_are_longest_first_without_overlap():
@@ -27,6 +28,33 @@ def test_names():
     assert X.name(["经济", "学院"]) is None and X.name(["山西定向"]) is None
 
 
+def test_dictionaries_are_parameters():
+    bare = Extractor(Gazetteer())
+    assert bare.name(["主讲人：张三"]) == "张三" and bare.name(["张三"]) is None and bare.region("昆明") == (None, None)
+    with pytest.raises(ValueError):
+        Gazetteer.of({"town": []})
+
+
+def test_places_and_positions_are_trimmed():
+    assert X._trim_place("2023年考入湖北省武汉市某局（不定职级）定向选调生") == "湖北省武汉市某局"
+    assert X._trim_place("于在：昆明市某委、") == "昆明市某委"
+    assert X.position("鹿原镇三口村党总支书记助理（不定职级）") == "党总支书记助理"
+    assert X.position("任局长") is None or X.position("担任副局长") == "副局长"
+    assert X.major("2021级文物专业", None) == "文物" and X.major("硕士研究生会计学专业", None) == "会计学"
+
+
+def test_texts_and_ocr_results_as_cells(spark):
+    box = lambda y: [[0.0, y], [9.0, y], [9.0, y + 8.0], [0.0, y + 8.0]]
+    lines = [("2023届 法学院", box(30.0)), ("主讲人：张三", box(0.0))]
+    df = spark.createDataFrame([(1, "主讲人：张三\n2023届 法学院\n扫码入群\n王五", lines)], "k int, text string, lines array<struct<text:string,box:array<array<double>>>>")
+    for cells in (cells_of_text(F.col("text")), cells_of_lines(F.col("lines"))):
+        rows = df.select("k", cells.alias("cells"))
+        got = extract(rows, "k", "cells", X.g)
+        assert [(r.name, r.cohort, r.college) for r in got.collect()] == [("张三", "2023届", "法学院")]
+    s = extraction_summary(got, df.unionAll(df.withColumn("k", F.lit(2))), "k").first()
+    assert (s.documents, s.with_records, s.records, s.nameless, s.with_college, s.with_city) == (2, 1, 1, 0, 1, 0)
+
+
 def test_colleges():
     text = "2023届定向选调生文学院2020级"
     value, span = X.college(text)
@@ -53,7 +81,7 @@ def test_blocks_begin_at_names_and_end_at_the_footer():
 
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, ["主讲人：张三", "2023届法学院", "现就职于云南省昆明市某局"]), (2, None), (3, []), (4, ["——"])], "k int, cells array<string>")
-    got = extract(df, "k", "cells").collect()
+    got = extract(df, "k", "cells", X.g).collect()
     assert [(r.k, r.block_index, r.name, r.college, r.city, r.cohort_year) for r in got] == [(1, 0, "张三", "法学院", "昆明市", 2023)]
     assert got[0].field_count == 5 and got[0].confidence == 0.864
 
