@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import normalize_latin
+from .text import let, normalize_latin
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -43,22 +42,28 @@ COHORT_PATTERNS = ((r"((?:20|19)\d{2})\s*届", "届"), (r"((?:20|19)\d{2})\s*年
 # ----------------------------------------------------------------------------------------------
 
 
-def first_rule(text: Column, rules: Rules) -> Column:
-    """Label of the first rule that has a keyword in the text, else null."""
-    out = None
-    for label, words in rules:
-        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out
+def _labels(rules: Rules) -> Column:
+    """A map from keywords to labels; a keyword of several rules belongs to the first."""
+    first = {w: label for label, words in reversed(rules) for w in words}
+    return F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
 
 
 def first_keyword(text: Column, rules: Rules) -> Column:
-    """The keyword that decides, in the order of rules and of keywords in a rule."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for _, words in rules for w in words])
+    """The keyword that decides, in the order of rules and of keywords in a rule. One small expression for any number of keywords."""
+    words = F.array(*[F.lit(w) for _, own in rules for w in own])
+    return F.get(F.filter(words, lambda w: F.contains(text, w)), F.lit(0))
+
+
+def first_rule(text: Column, rules: Rules) -> Column:
+    """Label of the first rule that has a keyword in the text, else null."""
+    return let(first_keyword(text, rules), lambda w: F.when(w.isNotNull(), F.element_at(_labels(rules), w)))
 
 
 def classify(position: Column, org: Column, major: Column) -> Column:
-    """struct(category, evidence, basis): job and organisation first, the major only without both."""
+    """struct(category, evidence, basis): job and organisation first, the major only without both.
+
+    The keyword that decides is looked for once, and its rule follows from it.
+    """
     job = F.trim(F.concat_ws(" ", F.nullif(position, F.lit("")), F.nullif(org, F.lit(""))))
     weak = F.trim(F.coalesce(major, F.lit("")))
 
@@ -66,13 +71,9 @@ def classify(position: Column, org: Column, major: Column) -> Column:
         return F.struct(category.alias("category"), evidence.alias("evidence"), basis.alias("basis"))
 
     null = F.lit(None).cast("string")
-    found, guessed = first_rule(job, JOB_RULES), first_rule(weak, MAJOR_RULES)
-    return (
-        F.when((job != "") & found.isNotNull(), row(found, first_keyword(job, JOB_RULES), F.lit(BASIS_JOB)))
-        .when(job != "", row(F.lit(DEFAULT), F.lit(NO_SIGNAL), F.lit(BASIS_DEFAULT)))
-        .when(guessed.isNotNull(), row(guessed, first_keyword(weak, MAJOR_RULES), F.lit(BASIS_MAJOR)))
-        .otherwise(row(F.lit(OTHER), null, null))
-    )
+    found = let(first_keyword(job, JOB_RULES), lambda k: F.when(k.isNotNull(), row(F.element_at(_labels(JOB_RULES), k), k, F.lit(BASIS_JOB))).otherwise(row(F.lit(DEFAULT), F.lit(NO_SIGNAL), F.lit(BASIS_DEFAULT))))
+    guessed = let(first_keyword(weak, MAJOR_RULES), lambda k: F.when(k.isNotNull(), row(F.element_at(_labels(MAJOR_RULES), k), k, F.lit(BASIS_MAJOR))).otherwise(row(F.lit(OTHER), null, null)))
+    return F.when(job != "", found).otherwise(guessed)
 
 
 def degree_level(degree: Column) -> Column:
@@ -118,6 +119,21 @@ def pinyin_matches(full: Column, initials: Column, query: str) -> Column:
     return F.contains(full, F.lit(q)) | F.startswith(initials, F.lit(q))
 
 
+def match_spans(name: str, query: str, table: Mapping[str, str]) -> list[tuple[int, int]]:
+    """Where a name's characters are those whose syllables, or their initials, the query spells from some character on."""
+    q = "".join(c for c in query.lower() if c.isascii() and c.isalnum())
+    syllables = [table.get(c, "") for c in name]
+    out = []
+    for a in range(len(name)):
+        for spelled in (syllables, [s[:1] for s in syllables]):
+            run, b = "", a
+            while b < len(name) and spelled[b] and len(run) < len(q):
+                run, b = run + spelled[b], b + 1
+            if q and run.startswith(q) and (a, b) not in out:
+                out.append((a, b))
+    return [s for s in out if not any(s[0] < b and a < s[1] for a, b in out[: out.index(s)])]
+
+
 def with_derived(df: DataFrame, table: Mapping[str, str]) -> DataFrame:
     """The four derived columns, recomputed as a view."""
     keys = pinyin_keys(F.col("name"), table)

@@ -51,7 +51,7 @@ def unique_in_order(values: Iterable) -> list[str]:
 
 
 def unique_in_order_col(values: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def parse_query(text: str | None) -> list[str]:
@@ -193,7 +193,7 @@ def clean_lines(text: Column, least: int = 2, spaces: str = "", normalize: bool
     text = F.regexp_replace(text, LINE_END, "\n")
     text = collapse_repeats(normalize_text(text) if normalize else text)
     lines = F.split(F.regexp_replace(text, r"(?U)[　\s&&[^\n]]+", spaces), "\n")
-    lines = F.filter(F.transform(lines, F.trim) if spaces else lines, lambda x: x != "")
+    lines = F.filter(F.transform(lines, lambda x: F.trim(x)) if spaces else lines, lambda x: x != "")
     kept = let(lines, lambda all_: F.filter(before_footer(all_), lambda x: (F.length(x) >= least) & ~is_noise(x)))
     return unique_lines(kept) if dedupe else kept
 
@@ -220,6 +220,15 @@ def image_stem(x: Column) -> Column:
     return F.regexp_replace(base, r"(?i)\.(jpg|jpeg|png|gif|bmp|webp)$", "")
 
 
+def image_stem_plain(x: str) -> str:
+    return re.sub(r"\.(jpg|jpeg|png|gif|bmp|webp)$", "", re.split(r"[/\\]", x)[-1], flags=re.I)
+
+
+def short_hash(x: Column, digits: int = 8) -> Column:
+    """The first hexadecimal digits of SHA-1, which tell files of one name apart."""
+    return F.substring(F.sha1(x), 1, digits)
+
+
 def normalize_url(x: Column) -> Column:
     """Without the default port of its scheme."""
     return F.regexp_replace(F.regexp_replace(x, r"^(http://[^/:]*):80(?=/|$)", "$1"), r"^(https://[^/:]*):443(?=/|$)", "$1")

@@ -39,7 +39,12 @@ def exclude_self(df: DataFrame, config: SearchConfig, filters: Mapping[str, Sequ
 
 def distributions(df: DataFrame, columns: Mapping[str, str], limit: int = 100) -> DataFrame:
     """dim, value, n, rank without filters."""
-    return top_values(df.select(F.inline(_values(columns))).groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n")), limit)
+    return top_values(counted(df, columns), limit)
+
+
+def counted(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """dim, value, n of all dimensions, in one pass."""
+    return df.select(F.inline(_values(columns))).groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def marked(facets: DataFrame, filters: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -64,18 +69,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_report(df: DataFrame, columns: Sequence[str], samples: int = 8) -> DataFrame:
-    """column, filled, empty and its most frequent values, from one unpivoted pass."""
+    """column, filled, empty and its most frequent values, from one unpivoted pass.
+
+    The first ranks of a column are kept on each side of the shuffle, so no task sorts all values of a column.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     full = nonblank(F.col("value"))
-    order = Window.partitionBy("column").orderBy(F.when(full, 0).otherwise(1), F.desc("n"), "value")
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    shown = F.when(full & (F.col("rank") <= samples), F.struct("rank", F.concat_ws("=", "value", F.col("n").cast("string")).alias("text")))
-    return ranked.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("filled"),
-        F.coalesce(F.sum(F.when(~full, F.col("n"))), F.lit(0)).alias("empty"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["text"]), "; ").alias("samples"),
-    )
+    totals = counts.groupBy("column").agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("filled"), F.coalesce(F.sum(F.when(~full, F.col("n"))), F.lit(0)).alias("empty"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    best = counts.filter(full).withColumn("rank", rank).filter(F.col("rank") <= samples)
+    text = F.struct("rank", F.concat_ws("=", "value", F.col("n").cast("string")).alias("text"))
+    shown = best.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda s: s["text"]), "; ").alias("samples"))
+    return totals.join(shown, "column", "left").select("column", "filled", "empty", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def core_score(columns: Mapping[str, Column], name: str, bonus: float = 0.15) -> tuple[Column, Column]:

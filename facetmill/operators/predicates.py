@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, ascii_lower_text, is_latin_text, unique_in_order
+from ..functions.text import is_latin_text, unique_in_order
 from ..plans.spec import SearchConfig
 
 
@@ -27,8 +27,8 @@ def nonblank(c: Column) -> Column:
 
 
 def like(c: Column, keyword: str) -> Column:
-    """``LIKE '%keyword%'`` with wildcards escaped, folding A-Z only."""
-    return F.contains(ascii_lower(c), F.lit(ascii_lower_text(keyword)))
+    """``LIKE '%keyword%'`` with wildcards escaped, folding A-Z only: Java's plain (?i), which makes no copy of the text."""
+    return c.cast("string").rlike("(?i)" + re.sub(r"[\\^$.|?*+()\[\]{}]", r"\\\g<0>", keyword))
 
 
 def like_any(columns: Sequence[str], keyword: str) -> Column:
@@ -112,6 +112,11 @@ def filtered(df: DataFrame, config: SearchConfig, filters: Mapping[str, Sequence
     return df.filter(all_of(c for d, c in clauses(config, filters).items() if d != skip))
 
 
+def confident(df: DataFrame, config: SearchConfig, least: float) -> DataFrame:
+    """Rows with a confidence from ``least`` on."""
+    return df.filter(F.col(config.confidence) >= least)
+
+
 def in_ids(df: DataFrame, ids: DataFrame | Sequence[object], id_col: str) -> DataFrame:
     """Rows whose id is in a set; values that aren't whole numbers are dropped; an empty set keeps nothing."""
     if not isinstance(ids, DataFrame):

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.text import fix_typos, image_stem, normalize_text, normalize_width, strip_invisible
 
 # Keyed loads ----------------------------------------------------------------------------------
 
@@ -151,43 +146,6 @@ def mean_of(values: Column) -> Column:
 # Rules ----------------------------------------------------------------------------------------
 
 
-def apply_text_rules(text: Column, rules: Sequence[Mapping[str, object]], image: Column | None = None) -> Column:
-    """Ordered replacements, literal or by regular expression. A rule with an image is for that image's rows only."""
-
-    def step(c: Column, r: Mapping[str, object]) -> Column:
-        new = F.regexp_replace(c, str(r["from"]), str(r["to"])) if r.get("regex") else F.replace(c, F.lit(r["from"]), F.lit(r["to"]))
-        if r.get("image") is None:
-            return new
-        return c if image is None else F.when(image_stem(image) == image_stem(F.lit(r["image"])), new).otherwise(c)
-
-    return reduce(step, rules, text)
-
-
-def fix_line(text: Column, rules: Sequence[Mapping[str, object]], image: Column | None = None, base: Column | None = None) -> Column:
-    """A line by the rules; where none changes it, by the rules on its normalised form (``base``); else as it is."""
-    base = normalize_text(text) if base is None else base
-    fixed, second = apply_text_rules(text, rules, image), apply_text_rules(base, rules, image)
-    return F.when(fixed != text, fixed).when(second != base, second).otherwise(text)
-
-
-def apply_line_corrections(df: DataFrame, rules: Sequence[Mapping[str, object]], image: str = "image", lines: str = "lines") -> DataFrame:
-    """Lines (an array of structs with ``text``) by the rules of their image, and ``corrected``, how many changed."""
-    if not rules:
-        return df.withColumn("corrected", F.lit(0))
-    # Lambdas take no Python function, so the lines of a row are normalised in one call.
-    plain = _nfkc_all(F.transform(lines, lambda x: strip_invisible(x["text"])))
-    out = df.withColumn("_plain", F.transform(plain, lambda t: fix_typos(normalize_width(t))))
-    out = out.withColumn("_texts", F.zip_with(lines, "_plain", lambda x, t: fix_line(x["text"], rules, F.col(image), t)))
-    changed = F.zip_with(lines, "_texts", lambda x, t: F.coalesce(x["text"] != t, F.lit(False)))
-    corrected = F.coalesce(F.when(F.col(lines).isNotNull(), F.size(F.filter(changed, lambda c: c))), F.lit(0))
-    return out.withColumns({lines: F.zip_with(lines, "_texts", lambda x, t: x.withField("text", t)), "corrected": corrected}).drop("_plain", "_texts")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_all(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
-
-
 def rule_hits(df: DataFrame, column: str, rules: Sequence[str]) -> DataFrame:
     """rule and occurrences over the whole table, rules without any included: one row, unpivoted."""
     count = lambda r: F.coalesce(F.sum(((F.length(column) - F.length(F.replace(F.col(column), F.lit(r), F.lit("")))) / len(r)).cast("long")), F.lit(0))
@@ -225,43 +183,31 @@ def _with_term(text: Column, taken: Column, term: str) -> Column:
     return F.concat(taken, F.transform(free, lambda i: F.struct(i.cast("int").alias("start"), F.lit(term).alias("term"))))
 
 
-def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, block: int = 50_000) -> DataFrame:
-    """(key, needle_key) of the texts that contain each needle, in one linear scan of a text for a block of needles.
+#: Characters of a needle's key; shorter needles are looked for one by one, as there can't be many.
+GRAM = 8
+
+
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, gram: int = GRAM) -> DataFrame:
+    """(key, needle_key) of the texts that contain each needle, without a product of the two.
 
-    Needles are counted first. Blocks of a bounded number go to the workers, where an automaton (or,
-    without its library, a loop) finds all of them at once; so no text meets a needle that it lacks.
+    A needle's first ``gram`` characters are its key. Texts give their distinct pieces of that length, of
+    which only those that are a key are joined; then the whole needle decides. Shorter needles have
+    their own length as piece length, so every length up to ``gram`` is one such join.
     """
-    blocks = max(1, -(-needles.count() // block))
-    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((texts, key), (needles, needle_key))}
+    known = needles.filter(F.length(needle) > 0).select(needle_key, F.col(needle).alias("_needle"), F.least(F.length(needle), F.lit(gram)).alias("_size"))
+    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # at most ``gram`` numbers
     parts = []
-    for i in range(blocks):
-        rows = needles.filter(F.pmod(F.xxhash64(needle_key), F.lit(blocks)) == i).filter(F.length(needle) > 0)
-        known = [(r[0], r[1]) for r in rows.select(needle_key, needle).collect()]
-        parts.append(texts.select(key, text).mapInPandas(_finder(known, key, needle_key), f"{key} {kinds[key]}, {needle_key} {kinds[needle_key]}"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _finder(known: Sequence[tuple[object, str]], key: str, needle_key: str):
-    by_text: dict[str, list] = {}
-    for ident, words in known:
-        by_text.setdefault(words, []).append(ident)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for words in by_text:
-                automaton.add_word(words, words)
-            automaton.make_automaton()
-            find = lambda t: {w for _, w in automaton.iter(t)} if by_text else set()
-        except ImportError:
-            find = lambda t: {w for w in by_text if w in t}
-        for batch in batches:
-            rows = [(k, ident) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if t for w in find(t) for ident in by_text[w]]
-            yield pd.DataFrame(rows, columns=[key, needle_key])
-
-    return run
+    for size in sorted(sizes):
+        keys = known.filter(F.col("_size") == size).withColumn("_gram", F.substring("_needle", 1, size))
+        # A look-ahead takes nothing, so its matches are all pieces, in one scan.
+        pieces = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+        found = texts.filter(F.length(text) >= size).select(key, F.explode(pieces).alias("_gram")).join(keys, "_gram").select(key, needle_key, "_needle")
+        parts.append(found)
+    if not parts:
+        return texts.select(key).limit(0).join(needles.select(needle_key).limit(0), F.lit(True))
+    # A text meets only needles whose key it has.
+    pairs = reduce(DataFrame.unionByName, parts)
+    return pairs.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("_needle"))).select(key, needle_key)
 
 
 def unique_edit_match(words: DataFrame, word: str, vocabulary: DataFrame, known: str) -> DataFrame:

@@ -26,6 +26,8 @@ class SearchConfig:
     text_columns: Sequence[str] = ("name", "cohort", "college", "major", "destination_org", "city", "province", "position", "degree", "raw_text")
     phrase_columns: Sequence[str] = ("name", "cohort", "college", "major", "destination_org", "city", "province", "position", "degree", "raw_text", "notice_title")
     pinyin: tuple[str, str] | None = ("name_pinyin", "name_initials")
+    #: The long text that snippets come from; it isn't marked as a whole.
+    body: str | None = "raw_text"
 
 
 def page_of(page: object, size: object) -> tuple[int, int]:

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RECORDS = SearchConfig(
     id="o_orderkey", name="c_name", year="year", confidence="o_totalprice", sort_name="c_name", numeric=("year", "month"),
     dimensions={"region": "r_name", "nation": "n_name", "segment": "c_mktsegment", "priority": "o_orderpriority", "status": "o_orderstatus", "year": "year", "month": "month"},
-    text_columns=("c_name", "n_name"), phrase_columns=("c_name", "n_name", "c_mktsegment"), pinyin=None,
+    text_columns=("c_name", "n_name"), phrase_columns=("c_name", "n_name", "c_mktsegment"), pinyin=None, body=None,
 )
 
 RECORDS_SQL = """
@@ -48,7 +48,7 @@ records AS (
 
 NOTES = SearchConfig(
     id="doc_id", name="source", year="quality", confidence="n_chars", sort_name="source", numeric=("quality", "toxic"),
-    dimensions={"lang": "lang", "source": "source", "quality": "quality", "toxic": "toxic"}, text_columns=("text", "source"), phrase_columns=("text", "source", "lang"), pinyin=None,
+    dimensions={"lang": "lang", "source": "source", "quality": "quality", "toxic": "toxic"}, text_columns=("text", "source"), phrase_columns=("text", "source", "lang"), pinyin=None, body="text",
 )
 
 NOTES_SQL = """

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facets, tables
-from ..operators.predicates import empty_record, filtered, in_ids, like, manual_source, nonblank
-from ..operators.search import detail, envelope
+from ..operators.jobs import prune_orphans
+from ..operators.predicates import confident, empty_record, filtered, in_ids, like, manual_source, nonblank
+from ..operators.search import completions, detail, envelope, health, overview
 from ..plans.spec import order_by
+from ..streaming.stream import pending
 from .base import NOTES, NOTES_SQL, RECORDS, RECORDS_SQL, notes, query, records, table
 
 FILTERS = {"region": ["ASIA", "EUROPE"], "priority": ["1-URGENT", "2-HIGH"], "year": ["1996", "1997", "no number"]}
@@ -61,11 +63,12 @@ def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.fill_rates(notes(spark, sf_dir), {c: c for c in ("text", "lang", "quality", "toxic")})
 
 
-@query("SELECT event_type, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS latest FROM events GROUP BY event_type")
+@query("""SELECT count(*) AS records, count(DISTINCT event_type) FILTER (event_type <> 'click') AS images, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS latest_release_time, count(*) FILTER (value IS NULL AND props IS NULL) AS empty_records FROM events""")
 def max_text_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-width text of times: its greatest value is the latest time."""
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max(F.when(text != "", text)).alias("latest"))
+    """The health row; fixed-width text of times has the latest as its greatest. One event type stands for a manual source."""
+    image = F.when(F.col("event_type") == "click", "manual:click").otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").withColumns({"image": image, "released": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
+    return health(rows, RECORDS, "image", "released", ["value", "props"])
 
 
 def _page(spark: SparkSession, sf_dir: str, sort: str) -> DataFrame:
@@ -112,9 +115,18 @@ def ids_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_ids(records(spark, sf_dir), ["x", ""], "o_orderkey").select("o_orderkey", "n_name")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT 'manual:' || doc_id AS image, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'crawl/' || c_custkey, c_name FROM customer")
 def orphan_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    """Records of manual sources that are gone are pruned; labels say which sources are left."""
+    image = lambda c: F.concat(F.lit("manual:"), F.col(c).cast("string")).alias("image")
+    stored = table(spark, sf_dir, "documents").select(image("doc_id"), "source")
+    crawled = table(spark, sf_dir, "customer").select(F.concat(F.lit("crawl/"), F.col("c_custkey").cast("string")).alias("image"), F.col("c_name").alias("source"))
+    return prune_orphans(stored.unionByName(crawled), table(spark, sf_dir, "labels").select(image("doc_id")))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT image, name, balance, starts_with(image, 'manual:') AS manual FROM (SELECT 'manual:' || s_suppkey AS image, s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT 'crawl/' || c_custkey, c_name, c_acctbal FROM customer)")
@@ -124,9 +136,9 @@ def source_union_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(c).withColumn("manual", manual_source(F.col("image")))
 
 
-@query("SELECT DISTINCT p_type FROM part")
+@query("SELECT count(DISTINCT p_type) AS p_type, count(DISTINCT p_brand) AS p_brand, count(DISTINCT p_size) AS p_size FROM part")
 def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_type").distinct()
+    return facets.distinct_counts(table(spark, sf_dir, "part"), ["p_type", "p_brand", "p_size"])
 
 
 @query("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role HAVING count(*) > 1")
@@ -164,7 +176,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RECORDS_SQL} SELECT o_orderkey, o_totalprice FROM records WHERE o_totalprice >= 300000")
 def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).filter(F.col("o_totalprice") >= 300000).select("o_orderkey", "o_totalprice")
+    return confident(records(spark, sf_dir), RECORDS, 300000).select("o_orderkey", "o_totalprice")
 
 
 @query(f"WITH {RECORDS_SQL} SELECT * FROM records WHERE o_orderkey = 7")
@@ -194,10 +206,9 @@ def column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.column_report(notes(spark, sf_dir), _REPORT)
 
 
-@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type IN ('click', 'view')) AS seen, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (value IS NULL) AS failed FROM events GROUP BY user_id")
+@query("SELECT count(*) AS total, count(*) FILTER (event_type IN ('click', 'view')) AS seen, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (event_type = 'none') AS failed FROM events")
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type").isin("click", "view")).alias("seen"), F.count_if(F.col("event_type") == "purchase").alias("bought"), F.count_if(F.col("value").isNull()).alias("failed"))
+    return facets.status_rollup(table(spark, sf_dir, "events"), "event_type", {"seen": ["click", "view"], "bought": ["purchase"], "failed": ["none"]})
 
 
 @query(f"WITH {NOTES_SQL}, n AS (SELECT doc_id, (lang <> '')::INT + (source <> '')::INT + (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT AS fields, quality FROM notes) SELECT doc_id, fields AS field_count, CASE WHEN quality IS NOT NULL THEN least(1.0::DOUBLE, fields / 4.0::DOUBLE + 0.15::DOUBLE) ELSE fields / 4.0::DOUBLE END AS confidence FROM n")
@@ -242,3 +253,17 @@ def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NOTES_SQL} SELECT lang, count(*) AS n FROM notes WHERE quality = 1 AND lang IN ('en', 'de') GROUP BY lang")
 def notes_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(notes(spark, sf_dir), NOTES, {"quality": ["1"], "lang": ["en", "de"]}).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {RECORDS_SQL}, counts AS ({' UNION ALL '.join(f"SELECT '{d}' AS dim, {c}::VARCHAR AS value, count(*) AS n FROM records WHERE {c} IS NOT NULL GROUP BY 2" for d, c in RECORDS.dimensions.items())}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY CASE WHEN dim IN ('year', 'month') THEN 0 ELSE -n END, value)::INT AS rank FROM counts)
+SELECT * FROM ranked WHERE rank <= 4 OR dim IN ('year', 'month', 'segment')""")
+def overview_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview(records(spark, sf_dir), RECORDS, 4, by_value=("year", "month"), whole=("segment",))
+
+
+@query(f"""WITH {RECORDS_SQL}, v AS (SELECT 'region' AS kind, r_name AS value, count(*) AS n FROM records GROUP BY 2 UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM records GROUP BY 2)
+SELECT kind, value, NULL::VARCHAR AS target FROM v WHERE contains(lower(value), 'a') UNION ALL SELECT * FROM (VALUES ('alias', 'car', 'AUTOMOBILE'), ('alias', 'far east', 'ASIA')) a(kind, value, target)""")
+def completion_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = [("AUTOMOBILE", ["AUTOMOBILE", "car", "motor"]), ("ASIA", ["ASIA", "far east"])]
+    return completions(records(spark, sf_dir), RECORDS, ["region", "segment"], groups, "a")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as cl
+from ..functions import gazetteer as g
 from ..functions import text as tx
+from ..functions.gazetteer import Gazetteer
 from ..operators import highlight, resolve, tables
-from ..operators.extract import extract
+from ..operators import rules as text_rules
+from ..operators.extract import destination_points, extract
 from ..operators.predicates import keyword, like_any, phrase, pinyin
-from ..operators.search import and_or, bm25, expand_column, expand_terms, fuzzy_union, group_totals
-from .base import NOTES, NOTES_SQL, notes, query, table
+from ..operators.search import and_or, bm25, expand_column, expand_terms, fuzzy_order, fuzzy_union, group_totals, indexed, search, write_postings
+from ..session import scratch_folder
+from .base import NOTES, NOTES_SQL, RECORDS, notes, query, records, table
 
 DOCS = "SELECT doc_id, text, source FROM documents"
 _TERMS = ("idiot", "worthless", "scum")
@@ -98,10 +103,11 @@ def fuzzy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT doc_id, n_chars, CASE WHEN contains({_FOLD.format(c='text')}, 'idiot') THEN 0 WHEN contains({_FOLD.format(c='text')}, 'moron') THEN 1 WHEN contains({_FOLD.format(c='text')}, 'clown') THEN 2 END AS variant FROM documents)
-SELECT doc_id, variant, (row_number() OVER (PARTITION BY variant ORDER BY n_chars DESC, doc_id))::INT AS position FROM m WHERE variant IS NOT NULL""")
+SELECT doc_id, variant FROM m WHERE variant IS NOT NULL ORDER BY variant, n_chars DESC, doc_id LIMIT 100""")
 def fuzzy_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a fuzzy search; a page has 100 rows at most."""
     rows = docs(spark, sf_dir).withColumn("quality", F.lit(None).cast("int"))
-    return fuzzy_union(rows, NOTES, ["idiot", "moron", "clown"]).select("doc_id", "variant", "position")
+    return fuzzy_union(rows, NOTES, ["idiot", "moron", "clown"]).orderBy(*fuzzy_order(NOTES)).limit(100).select("doc_id", "variant")
 
 
 @query("SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/$', '') ORDER BY page_id) AS n FROM pages) WHERE n = 1")
@@ -132,13 +138,12 @@ def footer_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cut_after(lines, "doc_id", "pos", F.contains("line", F.lit("idiot"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, pos, regexp_replace(line, '\s+', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-k AS (SELECT doc_id, line, min(pos) AS pos FROM l WHERE length(line) >= 2 AND regexp_matches(line, '[\p{L}\p{N}]') GROUP BY doc_id, line)
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, line, min(pos) AS pos FROM l WHERE length(line) >= 2 AND NOT regexp_matches(line, '(?i)^\s*$|^[^\p{L}\p{M}\p{Nd}]+$|spacer\.gif|^\s*[0-9]{1,3}\s*/\s*[0-9]{1,3}\s*$') GROUP BY doc_id, line)
 SELECT doc_id, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY doc_id""")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The native steps of cleaning: white space, noise, length, first occurrences."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\s+", ""))
-    kept = F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= 2) & x.rlike(r"[\p{L}\p{N}]")))
+    """Lines that are neither noise nor short nor repeated; of the noise patterns only some can match text without Chinese."""
+    kept = tx.unique_lines(F.filter(tx.split_lines(F.col("text")), lambda x: ~tx.is_noise(x) & (F.length(x) >= 2)))
     out = docs(spark, sf_dir).select("doc_id", kept.alias("lines")).filter(F.size("lines") > 0)
     return out.select("doc_id", F.size("lines").cast("long").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
 
@@ -148,9 +153,12 @@ def clean_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", tx.clean_lines(F.col("text")).alias("lines"))
 
 
-@query("SELECT doc_id, 'A1(,) x' || text AS text FROM documents")
+@query(f"SELECT doc_id, translate(text, {sql_text(tx.FULLWIDTH_PUNCTUATION[0])}, {sql_text(tx.FULLWIDTH_PUNCTUATION[1])}) AS text FROM documents")
 def normalize_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.concat(tx.normalize_width(F.lit("Ａ１（，）　ｘ")), F.col("text")).alias("text"))
+    """Texts in full-width forms, which the operator brings back."""
+    ascii_ = "".join(chr(c) for c in range(0x21, 0x7F))
+    wide = F.translate("text", " " + ascii_, "　" + "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
+    return docs(spark, sf_dir).select("doc_id", tx.normalize_width(wide).alias("text"))
 
 
 @query("SELECT doc_id, replace(replace(text, 'idiot', 'fool'), 'fool scum', 'fool') AS text FROM documents")
@@ -163,17 +171,30 @@ def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", tx.collapse_repeats(F.col("text")).alias("text"))
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(t, 'steel') OR contains(t, 'brass') THEN 'metal' WHEN contains(t, 'promo') THEN 'promotion' ELSE 'other' END AS category,
-CASE WHEN contains(t, 'steel') THEN 'steel' WHEN contains(t, 'brass') THEN 'brass' WHEN contains(t, 'promo') THEN 'promo' END AS evidence FROM (SELECT p_partkey, lower(p_type || ' ' || p_name) AS t FROM part)""")
+_JOBS = {"AUTOMOBILE": ("软件工程师", None, None), "BUILDING": (None, "某街道办公室", "金融学"), "FURNITURE": ("柜员", "某银行", "教育学"), "HOUSEHOLD": ("", " ", "计算机科学与技术"), "MACHINERY": ("搬运", "某厂", "民族学")}
+
+
+def _by_segment(values: dict[str, str | None]):
+    column = F.lit(None).cast("string")
+    for segment, value in values.items():
+        column = F.when(F.col("c_mktsegment") == segment, F.lit(value)).otherwise(column)
+    return column
+
+
+@query("""SELECT c_custkey, r.category, r.evidence, r.basis FROM customer JOIN (VALUES ('AUTOMOBILE', '技术研发类', '工程师', '岗位/单位'), ('BUILDING', '公务/事业单位', '街道', '岗位/单位'), ('FURNITURE', '金融类', '银行', '岗位/单位'),
+('HOUSEHOLD', '技术研发类', '计算机', '专业'), ('MACHINERY', '公务/事业单位', '无更具体的岗位信号', '默认')) r(segment, category, evidence, basis) ON c_mktsegment = segment""")
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = (("metal", ("steel", "brass")), ("promotion", ("promo",)))
-    text = F.lower(F.concat_ws(" ", "p_type", "p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(cl.first_rule(text, rules), F.lit("other")).alias("category"), cl.first_keyword(text, rules).alias("evidence"))
+    """Job categories of customers, whose segments stand for a position, an organisation and a major."""
+    position, org, major = (_by_segment({k: v[i] for k, v in _JOBS.items()}) for i in range(3))
+    return table(spark, sf_dir, "customer").select("c_custkey", cl.classify(position, org, major).alias("c")).select("c_custkey", "c.*")
 
 
-@query("SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') OR contains(lower(o_orderpriority), 'high') THEN 'top' WHEN contains(lower(o_orderpriority), 'low') THEN 'end' END AS level FROM orders")
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '博士' WHEN '2-HIGH' THEN '硕士' WHEN '3-MEDIUM' THEN '硕士' WHEN '4-NOT SPECIFIED' THEN NULL ELSE '本科' END AS level FROM orders")
 def degree_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", cl.first_rule(F.lower("o_orderpriority"), (("top", ("urgent", "high")), ("end", ("low",)))).alias("level"))
+    said = F.col("o_orderpriority")
+    for priority, degree in (("1-URGENT", "PhD"), ("2-HIGH", " MBA"), ("3-MEDIUM", "硕士研究生"), ("4-NOT SPECIFIED", "专科"), ("5-LOW", "学士")):
+        said = F.replace(said, F.lit(priority), F.lit(degree))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cl.degree_level(said).alias("level"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, 'p=([0-9]+)', 1), '') AS by_name, nullif(regexp_extract(url, '([0-9]+)', 1), '') AS first_run, len(regexp_extract_all(url, '[0-9]+'))::INT AS runs FROM pages")
@@ -191,10 +212,10 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", (F.col("pos") + 1).alias("position"), attribute(F.col("tag"), "href").alias("href"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages")
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '^(http://[^/:]*):80(/|$)', '\1\2'), '^(https://[^/:]*):443(/|$)', '\1\2') AS url, coalesce(nullif(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(?i)(\.(?:jpg|jpeg|png|gif|bmp|webp))$', 1)), ''), '.jpg') AS extension, substr(trim(regexp_replace(url, '[\\/:*?\"<>|\r\n\t]+', '_', 'g')), 1, 60) AS file, substr(sha1(url), 1, 8) AS suffix FROM pages")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1))
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1).alias("path"), F.regexp_extract("url", r"\?([^#]*)", 1).alias("query"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", tx.normalize_url(url).alias("url"), tx.url_extension(url).alias("extension"), tx.safe_filename(url).alias("file"), tx.short_hash(url).alias("suffix"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -215,44 +236,57 @@ def edit_distance_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.unique_edit_match(words, "word", part.select(F.col("p_name").alias("known")).distinct(), "known")
 
 
-_PLACES, _ORGS = ("the", "and", "und"), ("is", "of")
+_CELLS = ("湖南省某市", "某县水利局", "某街道办公室", "某大学", "村", "某自治区党委组织部")
+_CELL_SQL = "['" + "', '".join(_CELLS) + "'][1 + c_nationkey % 6] || left(c_mktsegment, 2)"
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 4 OR contains(text, 'idiot') THEN 0 ELSE " + " + ".join([f"2 * contains(text, '{m}')::INT" for m in _PLACES] + [f"contains(text, '{m}')::INT" for m in _ORGS]) + " END AS score FROM documents")
+@query(f"WITH c AS (SELECT c_custkey, {_CELL_SQL} AS cell FROM customer) SELECT c_custkey, CASE WHEN length(cell) < 4 OR " + " OR ".join(f"contains(cell, '{b}')" for b in g.DESTINATION_BANNED) + " THEN 0 ELSE 2 * (" + " + ".join(f"contains(cell, '{m}')::INT" for m in g.LOCATION_MARKERS) + ") + " + " + ".join(f"contains(cell, '{m}')::INT" for m in g.ORG_MARKERS) + " END AS score FROM c")
 def dest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda words: sum((F.contains("text", F.lit(w)).cast("int") for w in words), F.lit(0))
-    score = F.when((F.length("text") < 4) | F.contains("text", F.lit("idiot")), 0).otherwise(2 * count(_PLACES) + count(_ORGS))
-    return docs(spark, sf_dir).select("doc_id", score.alias("score"))
+    """Scores of a place for each customer, by nation, with a bit of the segment behind it."""
+    cell = F.concat(F.element_at(F.array(*map(F.lit, _CELLS)), F.col("c_nationkey") % 6 + 1), F.left(F.col("c_mktsegment"), F.lit(2)))
+    return table(spark, sf_dir, "customer").select("c_custkey", destination_points(cell).alias("score"))
 
 
 _TWINS = """WITH r AS (SELECT c_custkey * 10 AS id, c_name AS name, c_mktsegment AS org, c_nationkey AS place FROM customer
-UNION ALL SELECT c_custkey * 10 + 1, upper(c_name) || '.', CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END, c_nationkey FROM customer WHERE c_custkey % 3 = 0),
-k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM r)"""
+UNION ALL SELECT c_custkey * 10 + 1, upper(c_name) || '.', '', c_nationkey FROM customer
+UNION ALL SELECT c_custkey * 10 + 2, lower(c_name), 'Dept of ' || c_mktsegment, -1 FROM customer
+UNION ALL SELECT c_custkey * 10 + 3, c_name || ' ', 'none', -1 - c_nationkey FROM customer),
+k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, regexp_replace(lower(org), '[^a-z0-9]+', '', 'g') AS o FROM r)"""
 
 
-@query(f"{_TWINS} SELECT a.id, min(b.id) AS duplicate_of FROM k a LEFT JOIN k b ON a.key = b.key AND b.id < a.id AND ((a.org <> '' AND lower(a.org) = lower(b.org)) OR a.place = b.place) GROUP BY a.id")
+@query(f"""{_TWINS}, n AS (SELECT a.id, min(b.id) FILTER (a.o <> '' AND b.o <> '' AND (contains(a.o, b.o) OR contains(b.o, a.o))) AS by_org, min(b.id) FILTER (a.place = b.place) AS by_place FROM k a LEFT JOIN k b ON a.key = b.key AND b.id < a.id GROUP BY a.id)
+SELECT id, coalesce(by_org, by_place) AS duplicate_of FROM n""")
 def dedupe_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    base = c.select((F.col("c_custkey") * 10).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("org"), F.col("c_nationkey").alias("place"))
-    twins = c.filter("c_custkey % 3 = 0").select((F.col("c_custkey") * 10 + 1).alias("id"), F.concat(F.upper("c_name"), F.lit(".")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("org"), F.col("c_nationkey").alias("place"))
-    return resolve.group_by_rules(base.unionByName(twins), "name", "id", "place", "org").select("id", "duplicate_of")
+    """Four spellings of each customer, with and without an organisation and a place in common."""
+    c, org, place = table(spark, sf_dir, "customer"), F.col("c_mktsegment"), F.col("c_nationkey")
+    forms = ((F.col("c_name"), org, place), (F.concat(F.upper("c_name"), F.lit(".")), F.lit(""), place), (F.lower("c_name"), F.concat(F.lit("Dept of "), org), F.lit(-1)), (F.concat("c_name", F.lit(" ")), F.lit("none"), -1 - place))
+    rows = [c.select((F.col("c_custkey") * 10 + i).alias("id"), n.alias("name"), o.alias("org"), p.cast("int").alias("place")) for i, (n, o, p) in enumerate(forms)]
+    return resolve.group_by_rules(reduce(DataFrame.unionByName, rows), "name", "id", "place", "org").select("id", "duplicate_of")
 
 
 @query()
 def dedupe_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against perturbed copies of themselves, with the similarity ratio."""
+    """Three perturbed copies of each customer against two stored ones, with the similarity ratio, merging and ties."""
     null = F.lit(None).cast("string")
-    c = table(spark, sf_dir, "customer")
-    fields = {"cohort": null, "cohort_year": null.cast("int"), "college": null, "major": null, "city": null, "province": F.col("c_nationkey").cast("string"), "position": null, "degree": null, "note": null}
-    new = c.select(F.upper("c_name").alias("name"), F.concat("c_mktsegment", F.lit(" dept")).alias("destination_org"), *[v.alias(k) for k, v in fields.items()], F.col("c_custkey").cast("int").alias("source_row"))
-    stored = c.filter("c_custkey % 2 = 0").select(F.upper("c_name").alias("name"), F.col("c_mktsegment").alias("destination_org"), *[v.alias(k) for k, v in fields.items()], F.col("c_custkey").alias("id"))
-    return resolve.resolve(new, stored)
+    c, org = table(spark, sf_dir, "customer"), F.col("c_mktsegment")
+    base = {"cohort": null, "cohort_year": F.col("c_nationkey").cast("int"), "college": null, "major": null, "city": null, "province": null, "position": null, "degree": null, "note": null}
 
+    def rows(i: int, name: str, at: Column, **own: Column) -> DataFrame:
+        return c.select(*[v.alias(k) for k, v in {"name": F.upper("c_name"), "destination_org": null, **base, **own}.items()], at.alias(name))
 
-@query()
+    at = lambda i: (F.col("c_custkey") * 3 + i).cast("int")
+    new = [rows(0, "source_row", at(0), destination_org=F.concat(org, F.lit(" dept"))), rows(1, "source_row", at(1), destination_org=F.concat(F.lit("the "), org, F.lit(" departments"))), rows(2, "source_row", at(2), province=F.lit("湖南"), cohort_year=F.lit(1999))]
+    stored = [rows(0, "id", F.col("c_custkey") * 2, destination_org=F.concat(F.lit("office "), F.reverse(org)), province=F.lit("湖南省")), rows(1, "id", F.col("c_custkey") * 2 + 1, destination_org=F.substring(org, 2, 9))]
+    return resolve.resolve(reduce(DataFrame.unionByName, new), reduce(DataFrame.unionByName, stored))
+
+
+@query("""WITH v AS (SELECT user_id, list(value ORDER BY value) AS xs FROM events GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_transform(xs, lambda x: {'m': x, 'n': 1::DOUBLE, 'c': 0, 'ids': [0]}), lambda a, b: CASE WHEN abs(b.m - a.m) <= 5 THEN {'m': (a.m * a.n + b.m) / (a.n + 1), 'n': a.n + 1, 'c': a.c, 'ids': list_append(a.ids, a.c)} ELSE {'m': b.m, 'n': 1::DOUBLE, 'c': a.c + 1, 'ids': list_append(a.ids, a.c + 1)} END) AS s FROM v)
+SELECT user_id, array_to_string(s.ids, ',') AS clusters FROM r""")
 def running_mean_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     sorted_values = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    return sorted_values.select("user_id", tables.running_clusters(F.col("values"), F.lit(5.0)).alias("clusters"))
+    clusters = tables.running_clusters(F.col("values"), F.lit(5.0))
+    return sorted_values.select("user_id", F.array_join(F.transform(clusters, lambda c: c.cast("string")), ",").alias("clusters"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -282,11 +316,16 @@ def value_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("raw")).unionByName(messy).select("raw", tx.clean_value(F.col("raw")).alias("value"))
 
 
-@query("""SELECT n.n_nationkey, v.raw, v.short, v.whole FROM nation n, (VALUES ('云南省', '云南', '云南省'), ('云南', '云南', '云南省'), ('内蒙古自治区', '内蒙古', '内蒙古自治区'), ('广西', '广西', '广西壮族自治区'), ('位于湖北省', '位于湖北', '湖北省'), ('北京市', '北京', '北京市'), ('省', '省', '省')) v(raw, short, whole)""")
+#: A spelling of a province for each nation: whole, short, or inside a longer text.
+_SPELLED = [(i, p, (p, g.short_name(p), f"位于{p}")[i % 3]) for i, p in enumerate(g.PROVINCES[:25])]
+
+
+@query(f"""WITH v(nation, whole, raw) AS (VALUES {', '.join(f"({i}, '{p}', '{r}')" for i, p, r in _SPELLED)})
+SELECT c_custkey, raw, regexp_replace(raw, '(.)(特别行政区|自治区|省|市)$', '\\1') AS short, whole FROM customer JOIN v ON c_nationkey = nation""")
 def region_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.explode(F.array(*[F.lit(x) for x in ("云南省", "云南", "内蒙古自治区", "广西", "位于湖北省", "北京市", "省")]))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", raw.alias("raw"))
-    return rows.select("n_nationkey", "raw", tx.shorten_region(F.col("raw")).alias("short"), resolve.normalize_province(F.col("raw")).alias("whole"))
+    raw = F.element_at(F.array(*[F.lit(r) for *_, r in _SPELLED]), F.col("c_nationkey") + 1)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return rows.select("c_custkey", "raw", tx.shorten_region(F.col("raw")).alias("short"), resolve.normalize_province(F.col("raw")).alias("whole"))
 
 
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -332,8 +371,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First occurrences by a file stream over events that ends when all is read, run twice: the second run adds nothing."""
     from ..streaming.stream import file_stream, first_occurrences, load_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetmill-stream-")
-    base = f"{base}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    base = f"{scratch_folder(spark)}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
     schema = table(spark, sf_dir, "events").schema.simpleString()[len("struct<") : -1]
     for _ in range(2):
         stream = file_stream(spark, f"{sf_dir}/events.parque[t]", schema.replace(":", " "), "parquet")  # a pattern: the table is a file or a folder
@@ -341,11 +379,59 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Dictionaries for the documents' invented words.
+_WORDS = Gazetteer.of({"colleges": ["onbleea", "queque", "ouaux"], "majors": ["thanedble", "hation", "nicht"], "cities": ["ndtion", "thble"]})
+
+
+def _longest_sql(words) -> str:
+    return "CASE " + " ".join(f"WHEN contains(t, '{w}') THEN '{w}'" for w in sorted(words, key=len, reverse=True)) + " END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (SELECT doc_id, string_agg(line, '' ORDER BY pos) AS t FROM l WHERE NOT regexp_matches(line, '(?i)^\s*$|^[^\p{{L}}\p{{M}}\p{{Nd}}]+$|spacer\.gif|^\s*[0-9]{{1,3}}\s*/\s*[0-9]{{1,3}}\s*$') GROUP BY doc_id),
+f AS (SELECT doc_id, 0 AS block_index, {_longest_sql(_WORDS.colleges)} AS college, {_longest_sql(_WORDS.majors)} AS major, {_longest_sql(_WORDS.cities)} AS city, left(t, 400) AS evidence FROM t),
+n AS (SELECT *, (college IS NOT NULL)::INT + (major IS NOT NULL)::INT + (city IS NOT NULL)::INT AS field_count FROM f)
+SELECT doc_id, block_index, college, major, city, evidence, field_count, round(field_count / 7.0::DOUBLE, 3) AS confidence FROM n WHERE field_count > 0""")
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of invented notices, one for each customer."""
-    cells = F.array(
-        F.lit("选调经验分享"), F.lit("主讲人：张三"), F.lit("2023届经济学院金融学专业硕士研究生"), F.lit("现就职于湖北省武汉市某局"),
-        F.concat(F.lit("李四"), F.lit(" 法学院")), F.concat(F.lit("2022届 云南省昆明市第"), F.col("c_custkey").cast("string"), F.lit("街道办公室")), F.lit("扫码入群"), F.lit("王五"),
-    )
-    return extract(table(spark, sf_dir, "customer").select("c_custkey", cells.alias("cells")), "c_custkey", "cells")
+    """Records of whole documents, their lines as cells, by dictionaries of words that occur in them."""
+    cells = docs(spark, sf_dir).select("doc_id", tx.split_lines(F.col("text")).alias("cells"))
+    return extract(cells, "doc_id", "cells", _WORDS).select("doc_id", "block_index", "college", "major", "city", "evidence", "field_count", "confidence")
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(string_split_regex(text, '[\\s,，、;；+|/]+'), lambda x: x <> ''))) AS terms FROM documents")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts split as a search box splits its input."""
+    return docs(spark, sf_dir).select("doc_id", F.size(tx.parse_query_col(F.col("text"))).cast("long").alias("terms"))
+
+
+@query(r"""SELECT doc_id, replace(regexp_replace(text, '([a-z])ing\b', '\1ed', 'g'), 'idiot', CASE WHEN lang = 'de' THEN 'Kerl' ELSE 'idiot' END) AS text FROM documents""")
+def rules_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction rules, one of them for the rows of one image only (documents' languages stand for images)."""
+    rules = [{"from": r"([a-z])ing\b", "to": r"\1ed", "regex": True}, {"from": "idiot", "to": "Kerl", "image": "de.jpg"}]
+    return docs(spark, sf_dir).select("doc_id", text_rules.apply_text_rules(F.col("text"), rules, F.col("lang")).alias("text"))
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::INT AS ord, {sql_text(t)} AS source, coalesce(sum((length(text) - length(replace(text, '{t}', ''))) / {len(t)}), 0)::BIGINT AS hits, coalesce(sum((length(text) - length(replace(text, '{t}', '')))), 0) > 0 AS matched FROM documents WHERE {'lang = ' + sql_text(lang) if lang else 'TRUE'}" for i, (t, lang) in enumerate((("idiot", None), ("scum", "en"), ("no such", None)))))
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [{"from": "idiot", "to": "fool"}, {"from": "scum", "to": "foam", "image": "en"}, {"from": "no such", "to": "x"}]
+    rows = docs(spark, sf_dir).select("lang", tx.split_lines(F.col("text")).alias("lines"))
+    return text_rules.rule_report(rows, rules, "lang").select("ord", "source", "hits", "matched")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '00012')")
+def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase by the trigram index of the records, which is written first."""
+    rows, path = records(spark, sf_dir), f"{scratch_folder(spark)}/postings-{spark._jvm.java.util.UUID.randomUUID()}"
+    only = replace(RECORDS, phrase_columns=("c_name",))
+    write_postings(rows, only, path)
+    return indexed(rows, only, spark.read.parquet(path), "00012").select("o_orderkey", "c_name")
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents WHERE contains({_FOLD.format(c='text')}, 'worthless') OR contains({_FOLD.format(c='source')}, 'worthless')),
+b AS (SELECT doc_id, source, trim(text, ' ') AS text FROM m WHERE n BETWEEN 21 AND 40), p AS (SELECT *, strpos(lower(text), 'worthless') - 1 AS place FROM b), w AS (SELECT *, greatest(0, place - 75) AS s FROM p),
+e AS (SELECT doc_id, text AS body, s, least(length(text), s + 160) AS t, substr(text, (s + 1)::INT, (least(length(text), s + 160) - s)::INT) AS text FROM w)
+SELECT doc_id, (CASE WHEN s > 0 THEN '…' ELSE '' END) || regexp_replace({_ESCAPED}, '(?i)(worthless)', '<mark>\\1</mark>', 'g') || (CASE WHEN t < length(body) THEN '…' ELSE '' END) AS snippet FROM e""")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a whole request, as its highlight section shows it."""
+    rows = docs(spark, sf_dir).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    return search(rows, NOTES, "worthless", page=2, size=20, with_facets=False).highlight.select("doc_id", "highlight.snippet")

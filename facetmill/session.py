@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: dict[str, str] = {}
 
 
 def session(name: str = "facetmill", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -21,6 +23,20 @@ def session(name: str = "facetmill", cores: str | int = "*", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the session's ``spark.checkpoint.dir``, or in a local session a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="facetmill-scratch-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], True)
+    return "file://" + _SCRATCH[app]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, which may not have it on their path; once a session."""
     app = spark.sparkContext.applicationId

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import PurePosixPath
+from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.gazetteer import HEADERS
-from ..functions.text import alias_key, normalize_url, safe_filename, url_extension
+from ..functions.text import alias_key, image_stem_plain, normalize_url, safe_filename, url_extension
 
 LINE = "struct<text:string,score:double,box:array<array<double>>>"
 OCR = f"image string, image_path string, engine string, elapsed double, error string, mean_score double, lines array<{LINE}>, meta map<string,string>"
@@ -88,6 +91,11 @@ def ocr_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return named.filter(good).drop("_corrupt"), named.agg(F.count_if(~good).alias("corrupt"))
 
 
+def write_ocr_results(results: DataFrame, path: str) -> None:
+    """OCR documents as JSON, a line each, without the file column of ``ocr_results``."""
+    results.select(*[c for c in results.columns if c != "file"]).write.mode("overwrite").json(path)
+
+
 def image_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Records of all metadata files by base name of the image; the last file, then the last record, wins."""
     record = "array<struct<notice_id:string,notice_title:string,organization:string,release_time:string,notice_type:string,image_url:string,alt:string,local_path:string,sha256:string>>"
@@ -178,7 +186,8 @@ def table_rows(rows: Iterator[Sequence[object]]) -> list[dict]:
             if number > HEADER_ROWS:
                 return []
             found = header_fields(cells)
-            fields = found if "name" in found.values() else {}
+            # A title that reads like the name column's is no header.
+            fields = found if "name" in found.values() and len(found) > 1 else {}
             continue
         row = {f: None if i >= len(cells) or cells[i] is None else str(cells[i]) for i, f in fields.items()}
         name = (row.get("name") or "").strip()
@@ -247,19 +256,28 @@ def spreadsheet_rows(name: str, content: bytes) -> list[dict]:
     raise ValueError(f"no reader for files like {name}")
 
 
-ROW = "file string, source_row int, " + ", ".join(f"{f} string" for f in HEADERS)
+ROW = "file string, source_row int, " + ", ".join(f"{f} string" for f in HEADERS) + ", error string"
 
 
 def read_spreadsheets(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Rows of all workbooks and CSV files below a path, each file in one task."""
+    """Rows of all workbooks and CSV files below a path, each file in one task.
+
+    Other files are left out; one that can't be read is a row with nothing but its error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = files.filter(F.lower("path").rlike(r"\.(xlsx|xlsm|csv|txt)$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file", "source_row", *HEADERS]
+        columns = ["file", "source_row", *HEADERS, "error"]
         for batch in batches:
-            rows = [{"file": p, **r} for p, c in zip(batch["path"], batch["content"]) for r in spreadsheet_rows(p, bytes(c))]
-            frame = pd.DataFrame(rows, columns=columns)
-            yield frame.astype(object).where(frame.notna(), None).astype({"source_row": "int32"})
+            rows: list[dict] = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows += [{"file": path, **r} for r in spreadsheet_rows(path, bytes(content))]
+                except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as e:
+                    rows.append({"file": path, "error": f"{type(e).__name__}: {e}"})
+            frame = pd.DataFrame(rows, columns=columns).astype({"source_row": "Int32"})
+            yield frame.astype(object).where(frame.notna(), None)
 
     return files.mapInPandas(run, ROW)
 
@@ -287,46 +305,121 @@ def static_export(records: DataFrame, listed: Sequence[str], details: Sequence[s
     return records.select(F.to_json(F.struct(*listed, F.struct(*details).alias("detail")), {"ignoreNullFields": "true"}).alias("value"))
 
 
-# Rule files -----------------------------------------------------------------------------------
+# Documents: rules, aliases, configuration -------------------------------------------------------
+
+
+def load_document(spark: SparkSession, path: str, env: Mapping[str, str] | None = None) -> object:
+    """A JSON or YAML document that Spark's readers reach, environment names filled in if ``env`` is given; {} if it is empty."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one document of a person's size
+    text = interpolated(text, env) if env is not None else text
+    if not text.strip():
+        return {}
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+
+
+def stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """word: the distinct lines that aren't blank or comments."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).filter((F.col("word") != "") & ~F.startswith("word", F.lit("#"))).distinct()
+
 
+class Reloaded:
+    """A parsed document that is parsed anew when the file's time or size changes.
 
-def correction_rules(document: Mapping[str, object]) -> tuple[list[dict], list[dict], list[str]]:
-    """Text rules, field rules and warnings of a parsed rule document. Bad entries warn and are left out."""
+    A missing file gives ``default``; while a changed file can't be parsed, the last good state stays
+    and ``problem`` says why.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parse: Callable[[object], object], default: object = None):
+        self.spark, self.path, self.parse, self.default = spark, path, parse, default
+        self.signature: tuple[int, int] | None = None
+        self.value, self.problem = default, None
+
+    def _seen(self) -> tuple[int, int] | None:
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(file):
+            return None
+        status = system.getFileStatus(file)
+        return status.getModificationTime(), status.getLen()
+
+    def get(self) -> object:
+        seen = self._seen()
+        if seen != self.signature:
+            self.signature = seen
+            try:
+                self.value = self.default if seen is None else self.parse(load_document(self.spark, self.path))
+                self.problem = None
+            except Exception as e:  # noqa: BLE001 - a person is editing the file
+                self.problem = f"{type(e).__name__}: {e}"
+        return self.value
+
+
+def correction_rules(document: object) -> tuple[list[dict], list[dict], list[str]]:
+    """Text rules, field rules and warnings of a parsed rule document. Bad entries warn and are left out; images are stems."""
     warnings: list[str] = []
     text_rules: list[dict] = []
     field_rules: list[dict] = []
 
-    def add(image: str | None, entries: object) -> None:
-        for e in entries or []:  # type: ignore[attr-defined]
-            if not isinstance(e, Mapping) or not e.get("from") or "to" not in e:
-                warnings.append(f"text rule without from or to: {e!r}")
-                continue
-            if e.get("regex"):
-                try:
-                    re.compile(str(e["from"]))
-                except re.error as bad:
-                    warnings.append(f"bad expression {e['from']!r}: {bad}")
-                    continue
-            text_rules.append({"ord": len(text_rules), "image": image, "from": str(e["from"]), "to": str(e["to"]), "regex": bool(e.get("regex"))})
-
-    text = document.get("text") or {}
-    add(None, text.get("global"))  # type: ignore[attr-defined]
-    for image, entries in (text.get("images") or {}).items():  # type: ignore[attr-defined]
-        add(str(image), entries)
-    for image, entries in (document.get("fields") or {}).items():  # type: ignore[attr-defined]
-        for e in entries or []:
-            if not isinstance(e, Mapping) or ("name" not in e and "block_index" not in e):
-                warnings.append(f"field rule without name or block_index: {e!r}")
+    def part(owner: object, key: str, kind: type, where: str) -> Any:
+        value = owner.get(key) if isinstance(owner, Mapping) else None
+        if value is not None and not isinstance(value, kind):
+            warnings.append(f"{where} should be a {'list' if kind is list else 'mapping'}")
+            value = None
+        return value if value is not None else kind() if kind is list else {}
+
+    def text_rule(e: object, image: str | None, where: str) -> None:
+        source, target = (e.get("from"), e.get("to")) if isinstance(e, Mapping) else (None, None)
+        if not isinstance(source, str) or not source or not isinstance(target, str):
+            warnings.append(f"{where}: a rule needs from and to: {e!r}")
+            return
+        if e.get("regex"):
+            try:
+                re.compile(source)
+            except re.error as bad:
+                warnings.append(f"{where}: bad expression {source!r}: {bad}")
+                return
+        elif source == target:
+            warnings.append(f"{where}: {source!r} is replaced by itself")
+            return
+        text_rules.append({"ord": len(text_rules), "image": image, "from": source, "to": target, "regex": bool(e.get("regex"))})
+
+    def field_rule(e: object, image: str, where: str) -> None:
+        if not isinstance(e, Mapping) or (e.get("name") is None and e.get("block_index") is None):
+            warnings.append(f"{where}: a rule needs name or block_index: {e!r}")
+            return
+        values = dict(e["set"]) if isinstance(e.get("set"), Mapping) else {k: v for k, v in e.items() if k not in ("name", "block_index", "set")}
+        for name, value in values.items():
+            if name not in HEADERS:
+                warnings.append(f"{where}: unknown field {name!r}")
                 continue
-            values = dict(e.get("set") or {k: v for k, v in e.items() if k not in ("name", "block_index", "set")})
-            for field, value in values.items():
-                if field not in HEADERS:
-                    warnings.append(f"unknown field {field!r}")
-                else:
-                    field_rules.append({"ord": len(field_rules), "image": str(image), "name": e.get("name"), "block_index": e.get("block_index"), "field": field, "value": value})
+            own = {"image": image, "name": e.get("name"), "block_index": e.get("block_index"), "field": name}
+            if any(all(r[k] == v for k, v in own.items()) for r in field_rules):
+                warnings.append(f"{where}: {name!r} is set twice; the last rule counts")
+            field_rules.append({"ord": len(field_rules), **own, "value": None if value is None else str(value)})
+
+    text = part(document, "text", dict, "text")
+    for i, e in enumerate(part(text, "global", list, "text.global")):
+        text_rule(e, None, f"text.global[{i}]")
+    for kind, add in (("images", text_rule), ("fields", field_rule)):
+        owner = part(text, "images", dict, "text.images") if kind == "images" else part(document, "fields", dict, "fields")
+        for image in owner:
+            where = f"{'text.images' if kind == 'images' else 'fields'}.{image}"
+            for i, e in enumerate(part(owner, image, list, where)):
+                add(e, image_stem_plain(str(image)), f"{where}[{i}]")
     return text_rules, field_rules, warnings
 
 
+def rule_table(spark: SparkSession, field_rules: Sequence[Mapping[str, object]]) -> DataFrame:
+    """Field rules as a table, for ``jobs.override_records``."""
+    columns = ("ord", "image", "name", "block_index", "field", "value")
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in field_rules], "ord int, image string, name string, block_index int, field string, value string")
+
+
 def alias_table(spark: SparkSession, groups: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     rows = [(i, c, p, t, alias_key(t)) for i, (c, terms) in enumerate(groups) for p, t in enumerate(terms)]
     return spark.createDataFrame(rows, "group_id int, canonical string, pos int, term string, term_norm string")
@@ -343,34 +436,113 @@ def cookies(text: str) -> dict[str, str]:
     return {str(k): str(v) for k, v in data.items()} if isinstance(data, dict) else {str(c["name"]): str(c["value"]) for c in data}
 
 
-# Paged source ---------------------------------------------------------------------------------
+# Network --------------------------------------------------------------------------------------
+
 
+def saved_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page, notice_id, notice_title of a list's pages saved as page-1.json, page-2.json and so on.
 
-class _PageReader(DataSourceReader):
+    The list ends before the first page that is absent or empty. Any file system that Spark reads will do.
+    """
+    raw = spark.read.schema(PAYLOAD).json(f"{path.rstrip('/')}/page-*.json", multiLine=True)
+    number = F.regexp_extract(F.input_file_name(), r"page-(\d+)\.json$", 1).cast("int")
+    pages = raw.select(number.alias("page"), F.col("datas.tables").alias("rows")).filter(F.size("rows") > 0)
+    # Pages that are as many as their number lie before any gap; there is one row for each page here.
+    counted = pages.select("page").withColumn("place", F.row_number().over(Window.orderBy("page")))
+    whole = counted.filter("page = place").select("page")
+    rows = pages.join(whole, "page", "left_semi").select("page", F.explode("rows").alias("r"))
+    return rows.select("page", F.col("r.notice_id").alias("notice_id"), F.trim("r.notice_title").alias("notice_title"))
+
+
+def _opened(url: str, data: bytes | None = None) -> bytes:
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, data=data), timeout=30) as answer:  # noqa: S310 - the caller names the scheme
+        return answer.read()
+
+
+class _ListReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]):
-        self.folder, self.most = options["path"], int(options.get("maxPages", "20"))
+        self.url = options["url"]
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(page) for page in range(1, self.most + 1)]
+        return [InputPartition(0)]  # whether there is another page only the page before tells
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pathlib import Path
-
-        file = Path(self.folder) / f"page-{partition.value}.json"
-        if file.exists():
-            for row in json.loads(file.read_text("utf-8"))["datas"]["tables"]:
-                yield partition.value, row.get("notice_id"), (row.get("notice_title") or "").strip()
+        page, seen = 1, 0
+        while True:
+            answer = json.loads(_opened(self.url.replace("{page}", str(page))))["datas"]
+            rows = answer.get("tables") or []
+            for row in rows:
+                yield page, row.get("notice_id"), (row.get("notice_title") or "").strip()
+            seen, page = seen + len(rows), page + 1
+            if not rows or seen >= (answer.get("page") or {}).get("total", seen + 1):
+                return
 
 
-class SavedPages(DataSource):
-    """Pages of a notice list saved one to a file, as the paged HTTP source returns them; absent pages end it."""
+class NoticeList(DataSource):
+    """A paged list over HTTP: ``url`` holds {page}. It ends at an empty page or at the stated total."""
 
     @classmethod
     def name(cls) -> str:
-        return "saved_pages"
+        return "notice_list"
 
     def schema(self) -> str:
         return "page int, notice_id string, notice_title string"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _PageReader(self.options)
+        return _ListReader(self.options)
+
+
+def fetched(rows: DataFrame, url: str = "image_url", opener: Callable[[str], bytes] = _opened) -> DataFrame:
+    """``rows`` with content, sha256, size_bytes, status (ok or failed) and error of what ``url`` names. A failure is a row."""
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("content binary, sha256 string, size_bytes long, status string, error string").fields])
+    at = rows.columns.index(url)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = []
+            for address in batch.iloc[:, at]:
+                try:
+                    content = opener(address)
+                    got.append((content, hashlib.sha256(content).hexdigest(), len(content), "ok", None))
+                except Exception as e:  # noqa: BLE001 - the next address may do
+                    got.append((None, None, None, "failed", f"{type(e).__name__}: {e}"))
+            more = pd.DataFrame(got, columns=["content", "sha256", "size_bytes", "status", "error"]).astype({"size_bytes": "Int64"})
+            yield pd.concat([batch.reset_index(drop=True), more], axis=1)
+
+    return rows.mapInPandas(run, schema)
+
+
+# Tables, summaries, static sites ----------------------------------------------------------------
+
+
+def open_tables(spark: SparkSession, database: str, tables: Mapping[str, str], reset: bool = False) -> list[str]:
+    """Creates a database and its Parquet tables (name: schema) where they are missing, and names all; ``reset`` drops them first."""
+    if reset:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, schema in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({schema}) USING parquet")
+    return sorted(t.name for t in spark.catalog.listTables(database))
+
+
+def merge_summary(spark: SparkSession, path: str, new: Mapping[str, object]) -> dict:
+    """A JSON summary with ``new`` written over its values; other keys stay. The folder holds one document."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = load_document(spark, path) if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file) else {}
+    merged = {**(old if isinstance(old, Mapping) else {}), **new}
+    spark.createDataFrame([(json.dumps(merged, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return merged
+
+
+def write_static(records: DataFrame, path: str, listed: Sequence[str], details: Sequence[str], **sections: DataFrame) -> None:
+    """What a static site loads: records as JSON lines, and each section (facets, stats, aliases) beside them."""
+    static_export(records, listed, details).write.mode("overwrite").text(f"{path}/records")
+    for name, section in sections.items():
+        section.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_static(spark: SparkSession, path: str, listed: str, details: str) -> DataFrame:
+    """Records of a static site with list and detail columns side by side; ``listed`` and ``details`` are schemas."""
+    return spark.read.schema(f"{listed}, detail struct<{', '.join(f'{n}:{t}' for n, t in (c.strip().split(' ', 1) for c in details.split(',')))}>").json(f"{path}/records").select("*", "detail.*").drop("detail")

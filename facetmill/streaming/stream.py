@@ -32,3 +32,8 @@ def replace_sources(stream: DataFrame, path: str, checkpoint: str, key: str) ->
         batch.withColumn("_source", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_source").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Inputs without an output yet: a batch that was stopped goes on with these."""
+    return inputs.join(done.select(key), key, "left_anti")

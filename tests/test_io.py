@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import zipfile
@@ -5,6 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from facetmill.operators.jobs import override_records
+from facetmill.operators.search import alias_groups
 from facetmill.sources import io as src
 from facetmill.streaming.stream import file_stream, first_occurrences, load_available, replace_sources
 
@@ -106,12 +109,90 @@ def test_recognition_falls_back(spark):
     assert "no engine" in src.recognize(df, [("first", missing)]).first().error
 
 
-def test_saved_pages(spark, tmp_path):
-    for k in (1, 2):
-        (tmp_path / f"page-{k}.json").write_text(json.dumps({"datas": {"tables": [{"notice_id": str(k), "notice_title": " t "}]}}))
-    spark.dataSource.register(src.SavedPages)
-    got = spark.read.format("saved_pages").option("path", str(tmp_path)).option("maxPages", "3").load().collect()
-    assert sorted((r.page, r.notice_title) for r in got) == [(1, "t"), (2, "t")]
+def pages(folder, ids, total=None):
+    for k, rows in ids.items():
+        page = {"tables": [{"notice_id": str(i), "notice_title": " t "} for i in rows]} | ({"page": {"total": total}} if total else {})
+        (folder / f"page-{k}.json").write_text(json.dumps({"datas": page}))
+
+
+def test_saved_pages_end_before_a_gap_or_an_empty_page(spark, tmp_path):
+    pages(tmp_path, {k: [k, -k] for k in range(1, 24)} | {24: [], 25: [9], 30: [1]})
+    got = src.saved_pages(spark, str(tmp_path)).collect()
+    assert sorted({r.page for r in got}) == list(range(1, 24)) and len(got) == 46 and {r.notice_title for r in got} == {"t"}
+
+
+@pytest.mark.parametrize(("total", "seen"), [(None, 4), (3, 3)])
+def test_notice_lists_end_at_an_empty_page_or_the_total(spark, tmp_path, total, seen):
+    pages(tmp_path, {1: [1, 2], 2: [3], 3: [4], 4: []}, total)
+    spark.dataSource.register(src.NoticeList)
+    got = spark.read.format("notice_list").option("url", f"file://{tmp_path}/page-{{page}}.json").load().collect()
+    assert sorted(int(r.notice_id) for r in got) == list(range(1, seen + 1))
+
+
+def test_fetched_files_and_failures(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"hi")
+    df = spark.createDataFrame([(1, f"file://{tmp_path}/a"), (2, f"file://{tmp_path}/none")], "k int, image_url string")
+    got = sorted(src.fetched(df).collect())
+    assert [(r.k, r.status, r.size_bytes) for r in got] == [(1, "ok", 2), (2, "failed", None)]
+    assert got[0].sha256 == hashlib.sha256(b"hi").hexdigest() and got[1].error
+    assert src.crawl_summary(src.fetched(df)).first() == (2, 1, 1)
+
+
+def test_documents_are_reloaded_when_they_change(spark, tmp_path):
+    file = tmp_path / "terms.yaml"
+    live = src.Reloaded(spark, f"file://{file}", alias_groups, [])
+    assert live.get() == []
+    file.write_text("groups:\n  - canonical: 信息工程学院\n    aliases: [信工]\n", "utf-8")
+    assert live.get() == [("信息工程学院", ["信息工程学院", "信工"])] and live.get() is live.value
+    file.write_text("groups: [[a, b], {oops", "utf-8")
+    assert live.get() == [("信息工程学院", ["信息工程学院", "信工"])] and live.problem
+    file.write_text('{"groups": [["a", "b", "c"]]}', "utf-8")
+    assert live.get() == [("a", ["a", "b", "c"])] and live.problem is None
+    file.unlink()
+    assert live.get() == []
+
+
+def test_rule_files_end_to_end(spark, tmp_path):
+    (tmp_path / "rules.yaml").write_text("""
+text:
+  global:
+    - {from: '(\\d+)届', to: '\\1级', regex: true}
+    - {from: same, to: same}
+  images:
+    d/a.jpg: [{from: 误, to: 正}, oops]
+fields:
+  a.png: [{name: 张三, set: {city: ${CITY:-长沙市}}}, {block_index: 1, city: x}, {block_index: 1, city: y}]
+  b: no list
+""", "utf-8")
+    text, fields, warnings = src.correction_rules(src.load_document(spark, str(tmp_path / "rules.yaml"), {}))
+    assert [(r["image"], r["from"]) for r in text] == [(None, r"(\d+)届"), ("a", "误")]
+    assert [(r["image"], r["name"], r["block_index"], r["value"]) for r in fields] == [("a", "张三", None, "长沙市"), ("a", None, 1, "x"), ("a", None, 1, "y")]
+    assert len(warnings) == 4
+    records = spark.createDataFrame([("a", 0, "张三", None), ("a", 1, "李四", None)], "image string, block_index int, name string, city string")
+    assert sorted((r.name, r.city) for r in override_records(records, src.rule_table(spark, fields)).collect()) == [("张三", "长沙市"), ("李四", "y")]
+
+
+def test_headers_need_two_columns_and_bad_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("姓名\n姓名,学院,城市\n张三,法学院,长沙市\n", "utf-8")
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "c.pdf").write_bytes(b"other")
+    got = sorted(src.read_spreadsheets(spark, str(tmp_path)).collect(), key=lambda r: r.file)
+    assert [(r["name"], r.college, r.city, r.source_row, bool(r.error)) for r in got] == [("张三", "法学院", "长沙市", 3, False), (None, None, None, None, True)]
+
+
+def test_tables_summaries_static_sites_and_stop_words(spark, tmp_path):
+    assert src.open_tables(spark, "facetmill_test", {"a": "k int", "b": "v string"}, reset=True) == ["a", "b"]
+    assert src.open_tables(spark, "facetmill_test", {"a": "k int"}) == ["a", "b"]
+    spark.sql("DROP DATABASE facetmill_test CASCADE")
+    path = str(tmp_path / "summary")
+    assert src.merge_summary(spark, path, {"a": 1, "b": 2}) == {"a": 1, "b": 2}
+    assert src.merge_summary(spark, path, {"b": 3}) == {"a": 1, "b": 3} == src.load_document(spark, path)
+    df = spark.createDataFrame([(1, "张三", None), (2, "李四", "x")], "id int, name string, note string")
+    src.write_static(df, str(tmp_path / "site"), ["id"], ["name", "note"], stats=df.groupBy().count())
+    back = src.read_static(spark, str(tmp_path / "site"), "id int", "name string, note string")
+    assert sorted(map(tuple, back.collect())) == [(1, "张三", None), (2, "李四", "x")] and spark.read.json(str(tmp_path / "site" / "stats")).first()[0] == 2
+    (tmp_path / "stop.txt").write_text("# note\n a \n\nb\na\n")
+    assert sorted(r.word for r in src.stop_words(spark, str(tmp_path / "stop.txt")).collect()) == ["a", "b"]
 
 
 def test_streams(spark, tmp_path):

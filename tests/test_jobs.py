@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from facetmill.functions.gazetteer import Gazetteer
 from facetmill.operators import jobs
 from facetmill.operators.resolve import FIELDS
 from facetmill.sources.io import read_spreadsheets
@@ -38,7 +39,7 @@ def test_import_is_repeatable(spark, tmp_path):
 def test_records_are_normalised(spark):
     row = {"name": "李 四", "destination_org": "云南省昆明市某局", "province": "-", "cohort": "2024届"}
     rows = spark.createDataFrame([(1, *[row.get(f) for f in FIELDS if f != "cohort_year"]), (2, *[None] * (len(FIELDS) - 1))], "source_row int, " + ", ".join(f"{f} string" for f in FIELDS if f != "cohort_year"))
-    got = jobs.build_records(rows).collect()
+    got = jobs.build_records(rows, Gazetteer.of({"cities": ["昆明"]})).collect()
     assert [(r.name, r.province, r.city, r.cohort_year) for r in got] == [("李四", "云南省", "昆明市", 2024)]
 
 

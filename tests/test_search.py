@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from facetmill.functions.classify import match_spans
 from facetmill.operators import facets, tables
-from facetmill.operators.predicates import filtered, in_ids
-from facetmill.operators.search import search
+from facetmill.operators.predicates import filtered, in_ids, phrase
+from facetmill.operators.search import completions, detail_page, health, indexed, overview, search, service_config, write_postings
 from facetmill.plans.spec import SearchConfig
 
 CONFIG = SearchConfig(dimensions={"province": "province", "city": "city", "cohort_year": "cohort_year"}, text_columns=("name", "city"), phrase_columns=("name", "city", "notice_title"), pinyin=("name_pinyin", "name_initials"))
@@ -105,7 +106,7 @@ def test_gazetteer_joins(spark):
     assert [(x.start, x.term) for x in got] == [(2, "国家安全研究院"), (10, "研究院")]
     texts = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "xbcx")], "t int, text string")
     needles = spark.createDataFrame([(10, "bc"), (11, "abcabc"), (12, ""), (13, "bc")], "n int, text string")
-    got = tables.containing(texts, "t", "text", needles, "n", "text", block=2)
+    got = tables.containing(texts, "t", "text", needles, "n", "text", gram=3)
     assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (1, 13), (3, 10), (3, 13)]
     words = spark.createDataFrame([("cat",), ("cart",), ("dog",), ("ca",)], "w string")
     known = spark.createDataFrame([("cats",), ("dot",), ("do",)], "k string")
@@ -123,3 +124,51 @@ def test_field_rules(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, name string, city string")
     rules = spark.createDataFrame([(1, 0, "name", "x"), (1, 1, "name", "y")], "id int, ord int, field string, value string")
     assert sorted(map(tuple, tables.override_fields(df, rules, "id", ["name", "city"]).collect())) == [(1, "y", "b"), (2, "c", "d")]
+
+
+DOCS = "id int, name string, cohort_year int, confidence double, name_pinyin string, raw_text string"
+TEXTS = SearchConfig(dimensions={"name": "name", "cohort_year": "cohort_year"}, text_columns=("name", "raw_text"), phrase_columns=("name", "raw_text"), pinyin=None)
+
+
+def docs(spark):
+    rows = [(1, "甲", 2021, 0.5, "a", "经验分享会经验分享会"), (2, "乙", 2021, 0.9, "b", "一次很长的经验分享会" + "。" * 40), (3, "丙", 2022, 0.1, "c", "交流活动在北京"), (4, "", None, 0.2, "d", None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_fuzzy_search_goes_by_relevance_where_aliases_add_nothing(spark):
+    ids = lambda r: [x.id for x in r.page.collect()]
+    assert ids(search(docs(spark), TEXTS, "经验分享", groups=[("经验分享", ["经验分享", "没有的"])])) == ids(search(docs(spark), TEXTS, "经验分享")) == [1, 2]
+    found = search(docs(spark), TEXTS, "经验分享", groups=[("经验分享", ["经验分享", "交流活动"])])
+    assert ids(found) == [2, 1, 3] and found.envelope.first().total == 3
+    assert ids(search(docs(spark), TEXTS, "经验分享", groups=[("经验分享", ["经验分享", "交流活动"])], most_candidates=2)) == [2, 1]
+
+
+def test_highlight_section_and_detail(spark):
+    shown = {r.id: r.highlight for r in search(docs(spark), TEXTS, "经验分享 乙").highlight.collect()}
+    assert shown[2].html["name"] == "<mark>乙</mark>" and "<mark>经验分享</mark>" in shown[2].snippet and shown[2].matched_fields == ["name"] and sorted(shown[2].matched_terms) == ["乙", "经验分享"]
+    texts = spark.createDataFrame([("b", "whole")], "name_pinyin string, source_text string")
+    one = detail_page(docs(spark), TEXTS, 2, texts, "name_pinyin").first()
+    assert one.source_text == "whole" and one.highlight.html["name"] == "乙"
+
+
+def test_index_reads_and_finds_what_a_scan_finds(spark, tmp_path):
+    write_postings(docs(spark), TEXTS, str(tmp_path / "index"), buckets=4)
+    postings = spark.read.parquet(str(tmp_path / "index"))
+    for term in ("经验分享", "分享会", "交流", "甲", "很长的经验", "会经验", "没有的词"):
+        want = sorted(r.id for r in docs(spark).filter(phrase(TEXTS.phrase_columns, term)).collect())
+        assert sorted(r.id for r in indexed(docs(spark), TEXTS, postings, term, buckets=4).collect()) == want
+
+
+def test_overviews_and_completions(spark):
+    assert tuple(health(docs(spark), TEXTS, "name_pinyin", "raw_text", ["name", "raw_text"]).first())[::3] == (4, 1)
+    got = [(r.dim, r.value, r.n, r["rank"]) for r in sorted(overview(docs(spark), TEXTS, 1, by_value=["cohort_year"]).collect())]
+    assert got == [("cohort_year", "2021", 2, 1), ("cohort_year", "2022", 1, 2), ("name", "丙", 1, 1)]
+    groups = [("经验分享", ["经验分享", "心得"])]
+    assert [tuple(r) for r in completions(docs(spark), TEXTS, ["cohort_year"], groups).collect()] == [("cohort_year", "2021", None), ("cohort_year", "2022", None), ("alias", "心得", "经验分享")]
+    assert service_config(TEXTS, groups)["fuzzy"] == {"path": "", "groups": 1, "aliases": 1, "available": True}
+
+
+def test_pinyin_spans():
+    table = {"张": "zhang", "三": "san", "丰": "feng"}
+    assert match_spans("张三丰", "zs", table) == [(0, 2)] and match_spans("张三丰", "sanf", table) == [(1, 3)] and match_spans("张三丰", "f", table) == [(2, 3)]
+    assert match_spans("张三丰", "", table) == match_spans("张x", "zx", table) == []

@@ -106,7 +106,7 @@ def test_aliases():
 
 
 def test_line_rules_by_image_and_on_the_normalised_line(spark):
-    from facetmill.operators.tables import apply_line_corrections, apply_text_rules
+    from facetmill.operators.rules import apply_line_corrections, apply_text_rules
 
     rules = [{"image": None, "from": "A1", "to": "ok", "regex": False}, {"image": "p.jpg", "from": "B+", "to": "x", "regex": True}]
     rows = [("d/p.jpg", ["A1", "Ａ１", "BB", "Ｃ"]), ("q.png", ["A1 BB", None]), (None, ["BB"]), ("p", None)]
@@ -114,3 +114,15 @@ def test_line_rules_by_image_and_on_the_normalised_line(spark):
     got = {r.image: (r.lines and [(x.text, x.page) for x in r.lines], r.corrected) for r in apply_line_corrections(df, rules).collect()}
     assert got == {"d/p.jpg": ([("ok", 1), ("ok", 1), ("x", 1), ("Ｃ", 1)], 3), "q.png": ([("ok BB", 1), (None, 1)], 1), None: ([("BB", 1)], 0), "p": (None, 0)}
     assert apply(spark, lambda x: apply_text_rules(x, rules, F.lit("q")), ["A1BB"]) == ["okBB"]
+
+
+def test_rules_are_python_expressions_and_are_reported(spark):
+    from facetmill.operators.rules import apply_text_rules, rule_report
+
+    rules = [{"from": r"(\d+)届", "to": r"\1级", "regex": True}, {"from": "x+", "to": "$5", "regex": True}, {"from": "\\", "to": "\\1"}, {"image": "b.png", "from": "级", "to": "班"}, {"from": "never", "to": ""}]
+    assert apply(spark, lambda x: apply_text_rules(x, rules, F.lit("a")), ["2023届", "axxb", "\\", None]) == ["2023级", "a$5b", "\\1", None]
+    df = spark.createDataFrame([("d/a.jpg", ["2023届", "１届", ""]), ("b", ["2021届xx", None]), ("c", None)], "image string, lines array<string>")
+    got = sorted(map(tuple, rule_report(df, rules).collect()))
+    assert [(r[0], r[1], r[4], r[5]) for r in got] == [(0, None, 3, True), (1, None, 1, True), (2, None, 0, False), (3, "b", 1, True), (4, None, 0, False)]
+    plain = [r for r in rules if not r.get("regex")]
+    assert apply(spark, lambda x: apply_text_rules(x, plain, F.lit("b.png")), ["级\\"]) == ["班\\1"]
