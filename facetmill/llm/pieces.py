@@ -24,7 +24,7 @@ _RUN = r"[^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff} ][.,] "
 _JOINED = "\x02"
 #: Text that is cut up at once, and pieces that are remembered.
 #: in memory that is shared with other stages, and where an encoder has the worker for itself.
-_SMALL, _ROOMY = (6 << 20, 500_000), (16 << 20, 1_500_000)
+_SMALL, _ROOMY = (6 << 20, 500_000), (16 << 20, 1_000_000)
 _MARK = "\x1e"
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .pieces import encoder, with_end
 from .shared import written
-from .worker import lean
+from .worker import lean, release
 
 _MAGIC, _VERSION = b"RPRB", 1
 _HEAD = struct.Struct("<4s4I3Q")
@@ -196,6 +196,8 @@ def write_ids(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, v
             row = [[shard], [block], [len(names)], [len(ids)], [pack_block(names, ids, bounds, end_id, vocabulary)]]
             block += 1
             names.clear(), held.clear(), sizes.clear()
+            del ids, bounds
+            release()  # what a block took goes back before the next one is gathered
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
