@@ -145,7 +145,9 @@ def normalize_text(x: Column, fullwidth: bool = True, typos: bool = True) -> Col
 
 
 def normalize_plain(x: str) -> str:
-    """``normalize_text`` of a string, for functions that work in Python anyway."""
+    """``normalize_text`` of a string."""
+    if x.isascii():
+        return x if x.isprintable() else re.sub(INVISIBLE, "", x)
     x = unicodedata.normalize("NFKC", re.sub(INVISIBLE, "", x)).translate(_WIDTHS)
     return reduce(lambda t, p: t.replace(*p), TYPOS, x)
 
@@ -184,18 +186,49 @@ def unique_lines(lines: Column) -> Column:
     return F.array_distinct(lines)
 
 
-def clean_lines(text: Column, least: int = 2, spaces: str = "", normalize: bool = True, dedupe: bool = True) -> Column:
-    """Lines of a text: normalised, up to the first footer line, without noise, short and repeated lines.
+_LINE_END, _INVISIBLE, _BLANK = re.compile(LINE_END), re.compile(INVISIBLE), re.compile(r"[　\s]+")
+_REPEAT = {most: re.compile(rf"(.{{1,2}})\1{{{most},}}") for most in (3,)}
+#: Patterns from a line's beginning are tried there alone; few others look into it.
+_NOISE_HEAD = re.compile("|".join(p for p in NOISE_LINES if p.startswith("^")), re.I)
+_NOISE_INSIDE = [re.compile(p, re.I) for p in NOISE_LINES if not p.startswith("^")]
+_FOOTER_HEAD = re.compile("|".join(p for p in FOOTER_LINES if p.startswith("^")))
+_FOOTER_INSIDE = [re.compile(p) for p in FOOTER_LINES if not p.startswith("^")]
+
+
+def noise_line(line: str) -> bool:
+    """``is_noise`` of a string."""
+    return bool(_NOISE_HEAD.match(line)) or any(p.search(line) for p in _NOISE_INSIDE)
+
+
+def footer_line(line: str) -> bool:
+    """``is_footer`` of a string."""
+    line = line.strip()
+    return bool(line) and (bool(_FOOTER_HEAD.match(line)) or any(p.search(line) for p in _FOOTER_INSIDE))
+
 
-    What doesn't look beyond a line works on the whole text at once, so a text is scanned a few times, not each line.
-    """
+def cleaned_lines(text: str, least: int = 2, spaces: str = "", normalize: bool = True, dedupe: bool = True) -> list[str]:
+    """Lines of a text: normalised, up to the first footer line, without noise, short and repeated lines."""
     # Line ends first: some of them count as invisible characters in a line.
-    text = F.regexp_replace(text, LINE_END, "\n")
-    text = collapse_repeats(normalize_text(text) if normalize else text)
-    lines = F.split(F.regexp_replace(text, r"(?U)[　\s&&[^\n]]+", spaces), "\n")
-    lines = F.filter(F.transform(lines, lambda x: F.trim(x)) if spaces else lines, lambda x: x != "")
-    kept = let(lines, lambda all_: F.filter(before_footer(all_), lambda x: (F.length(x) >= least) & ~is_noise(x)))
-    return unique_lines(kept) if dedupe else kept
+    text = _LINE_END.sub("\n", text)
+    text = _REPEAT[3].sub(r"\1\1", normalize_plain(text) if normalize else text)
+    out = []
+    for line in text.split("\n"):
+        line = _BLANK.sub(spaces, line).strip()
+        if line and footer_line(line):
+            break
+        if len(line) >= max(least, 1) and not noise_line(line):
+            out.append(line)
+    return list(dict.fromkeys(out)) if dedupe else out
+
+
+def clean_lines(text: Column, least: int = 2, spaces: str = "", normalize: bool = True, dedupe: bool = True) -> Column:
+    """``cleaned_lines`` of a column: a text passes through Python once, in Arrow batches, as it has to for NFKC."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cleaned_lines(t, least, spaces, normalize, dedupe) for t in texts], dtype=object)
+
+    return cleaned(text)
 
 
 def clean_value(x: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,31 +184,59 @@ def _with_term(text: Column, taken: Column, term: str) -> Column:
     return F.concat(taken, F.transform(free, lambda i: F.struct(i.cast("int").alias("start"), F.lit(term).alias("term"))))
 
 
-#: Characters of a needle's key; shorter needles are looked for one by one, as there can't be many.
-GRAM = 8
+#: Characters of a needle's key. Needles and characters up to which all go to every worker.
+GRAM, MOST_NEEDLES, MOST_CHARACTERS = 8, 50_000, 16_000_000
 
 
-def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, gram: int = GRAM) -> DataFrame:
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, gram: int = GRAM, most: int = MOST_NEEDLES) -> DataFrame:
     """(key, needle_key) of the texts that contain each needle, without a product of the two.
 
-    A needle's first ``gram`` characters are its key. Texts give their distinct pieces of that length, of
-    which only those that are a key are joined; then the whole needle decides. Shorter needles have
-    their own length as piece length, so every length up to ``gram`` is one such join.
+    Needles are measured first. Up to ``most`` of them go to the workers, where one scan of a text finds
+    all. More are joined by key, their first ``gram`` characters: texts give their distinct pieces of that
+    length, and where one is a key the whole needle decides. Shorter needles have their own length as
+    piece length, so every length up to ``gram`` is one such join.
     """
-    known = needles.filter(F.length(needle) > 0).select(needle_key, F.col(needle).alias("_needle"), F.least(F.length(needle), F.lit(gram)).alias("_size"))
-    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # at most ``gram`` numbers
+    full = needles.filter(F.length(needle) > 0).select(needle_key, F.col(needle).alias("_needle"))
+    n, size = full.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_needle")), F.lit(0))).first()
+    if n <= most and size <= MOST_CHARACTERS:
+        kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((texts, key), (needles, needle_key))}
+        return texts.select(key, text).mapInPandas(_finder(full.collect(), key, needle_key), f"{key} {kinds[key]}, {needle_key} {kinds[needle_key]}")
+    known = full.withColumn("_size", F.least(F.length("_needle"), F.lit(gram)))
     parts = []
-    for size in sorted(sizes):
+    for size in sorted(r[0] for r in known.select("_size").distinct().collect()):  # at most ``gram`` numbers
         keys = known.filter(F.col("_size") == size).withColumn("_gram", F.substring("_needle", 1, size))
         # A look-ahead takes nothing, so its matches are all pieces, in one scan.
         pieces = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
-        found = texts.filter(F.length(text) >= size).select(key, F.explode(pieces).alias("_gram")).join(keys, "_gram").select(key, needle_key, "_needle")
-        parts.append(found)
-    if not parts:
-        return texts.select(key).limit(0).join(needles.select(needle_key).limit(0), F.lit(True))
+        parts.append(texts.filter(F.length(text) >= size).select(key, F.explode(pieces).alias("_gram")).join(keys, "_gram").select(key, needle_key, "_needle"))
     # A text meets only needles whose key it has.
-    pairs = reduce(DataFrame.unionByName, parts)
-    return pairs.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("_needle"))).select(key, needle_key)
+    return reduce(DataFrame.unionByName, parts).join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("_needle"))).select(key, needle_key)
+
+
+def _finder(known: Sequence[tuple[object, str]], key: str, needle_key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    by_needle: dict[str, list] = {}
+    for ident, words in known:
+        by_needle.setdefault(words, []).append(ident)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for words in by_needle:
+                automaton.add_word(words, words)
+            automaton.make_automaton()
+            find = lambda t: {w for _, w in automaton.iter(t)} if by_needle else set()
+        except ImportError:
+            # By first characters, so that a place in the text is held against few needles.
+            heads: dict[str, list[str]] = {}
+            for words in by_needle:
+                heads.setdefault(words[:3], []).append(words)
+            find = lambda t: {w for i in range(len(t)) for k in (1, 2, 3) if len(t) - i >= k for w in heads.get(t[i : i + k], ()) if t.startswith(w, i)}
+        for batch in batches:
+            rows = [(k, ident) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if t for w in find(t) for ident in by_needle[w]]
+            yield pd.DataFrame(rows, columns=[key, needle_key])
+
+    return run
 
 
 def unique_edit_match(words: DataFrame, word: str, vocabulary: DataFrame, known: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import rules as text_rules
 from ..operators.extract import destination_points, extract
 from ..operators.predicates import keyword, like_any, phrase, pinyin
 from ..operators.search import and_or, bm25, expand_column, expand_terms, fuzzy_order, fuzzy_union, group_totals, indexed, search, write_postings
-from ..session import scratch_folder
+from ..session import scratch_folder, spread
 from .base import NOTES, NOTES_SQL, RECORDS, notes, query, records, table
 
 DOCS = "SELECT doc_id, text, source FROM documents"
@@ -150,7 +150,7 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", tx.clean_lines(F.col("text")).alias("lines"))
+    return spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tx.clean_lines(F.col("text")).alias("lines"))
 
 
 @query(f"SELECT doc_id, translate(text, {sql_text(tx.FULLWIDTH_PUNCTUATION[0])}, {sql_text(tx.FULLWIDTH_PUNCTUATION[1])}) AS text FROM documents")
@@ -394,7 +394,7 @@ n AS (SELECT *, (college IS NOT NULL)::INT + (major IS NOT NULL)::INT + (city IS
 SELECT doc_id, block_index, college, major, city, evidence, field_count, round(field_count / 7.0::DOUBLE, 3) AS confidence FROM n WHERE field_count > 0""")
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of whole documents, their lines as cells, by dictionaries of words that occur in them."""
-    cells = docs(spark, sf_dir).select("doc_id", tx.split_lines(F.col("text")).alias("cells"))
+    cells = spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tx.split_lines(F.col("text")).alias("cells"))
     return extract(cells, "doc_id", "cells", _WORDS).select("doc_id", "block_index", "college", "major", "city", "evidence", "field_count", "confidence")
 
 
@@ -414,7 +414,7 @@ def rules_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT {i}::INT AS ord, {sql_text(t)} AS source, coalesce(sum((length(text) - length(replace(text, '{t}', ''))) / {len(t)}), 0)::BIGINT AS hits, coalesce(sum((length(text) - length(replace(text, '{t}', '')))), 0) > 0 AS matched FROM documents WHERE {'lang = ' + sql_text(lang) if lang else 'TRUE'}" for i, (t, lang) in enumerate((("idiot", None), ("scum", "en"), ("no such", None)))))
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [{"from": "idiot", "to": "fool"}, {"from": "scum", "to": "foam", "image": "en"}, {"from": "no such", "to": "x"}]
-    rows = docs(spark, sf_dir).select("lang", tx.split_lines(F.col("text")).alias("lines"))
+    rows = spread(docs(spark, sf_dir).select("lang", "text")).select("lang", tx.split_lines(F.col("text")).alias("lines"))
     return text_rules.rule_report(rows, rules, "lang").select("ord", "source", "hits", "matched")
 
 
@@ -423,8 +423,8 @@ def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase by the trigram index of the records, which is written first."""
     rows, path = records(spark, sf_dir), f"{scratch_folder(spark)}/postings-{spark._jvm.java.util.UUID.randomUUID()}"
     only = replace(RECORDS, phrase_columns=("c_name",))
-    write_postings(rows, only, path)
-    return indexed(rows, only, spark.read.parquet(path), "00012").select("o_orderkey", "c_name")
+    write_postings(rows, only, path, 16)
+    return indexed(rows, only, spark.read.parquet(path), "00012", 16).select("o_orderkey", "c_name")
 
 
 @query(f"""WITH m AS (SELECT doc_id, text, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents WHERE contains({_FOLD.format(c='text')}, 'worthless') OR contains({_FOLD.format(c='source')}, 'worthless')),

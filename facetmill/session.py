@@ -9,7 +9,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, str] = {}
@@ -37,6 +37,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return "file://" + _SCRATCH[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where it comes in fewer pieces, as a small table in one file does.
+
+    For stages that cost far more than moving their rows. Large tables have pieces enough and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, which may not have it on their path; once a session."""
     app = spark.sparkContext.applicationId

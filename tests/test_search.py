@@ -1,3 +1,6 @@
+import sys
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,14 +103,18 @@ def test_layout(spark):
     assert spark.range(1).select(tables.running_clusters(F.array(*map(F.lit, [0.0, 3.0, 9.0, 10.0])), F.lit(4.0)).alias("c")).first().c == [0, 0, 1, 1]
 
 
-def test_gazetteer_joins(spark):
+def test_gazetteer_joins(spark, monkeypatch):
     text = F.lit("在国家安全研究院与研究院")
     got = spark.range(1).select(tables.longest_terms(text, ["研究院", "国家安全研究院", "安全"]).alias("t")).first().t
     assert [(x.start, x.term) for x in got] == [(2, "国家安全研究院"), (10, "研究院")]
     texts = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "xbcx")], "t int, text string")
     needles = spark.createDataFrame([(10, "bc"), (11, "abcabc"), (12, ""), (13, "bc")], "n int, text string")
-    got = tables.containing(texts, "t", "text", needles, "n", "text", gram=3)
-    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (1, 13), (3, 10), (3, 13)]
+    for most in (100, 0):
+        got = tables.containing(texts, "t", "text", needles, "n", "text", gram=3, most=most)
+        assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (1, 13), (3, 10), (3, 13)]
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    by_heads = tables._finder([tuple(r) for r in needles.filter("n <> 12").collect()], "t", "n")
+    assert sorted(map(tuple, pd.concat(by_heads(iter([texts.toPandas()]))).values.tolist())) == [(1, 10), (1, 11), (1, 13), (3, 10), (3, 13)]
     words = spark.createDataFrame([("cat",), ("cart",), ("dog",), ("ca",)], "w string")
     known = spark.createDataFrame([("cats",), ("dot",), ("do",)], "k string")
     # dog is one edit from dot and from do, so it has no only match.

@@ -126,3 +126,12 @@ def test_rules_are_python_expressions_and_are_reported(spark):
     assert [(r[0], r[1], r[4], r[5]) for r in got] == [(0, None, 3, True), (1, None, 1, True), (2, None, 0, False), (3, "b", 1, True), (4, None, 0, False)]
     plain = [r for r in rules if not r.get("regex")]
     assert apply(spark, lambda x: apply_text_rules(x, plain, F.lit("b.png")), ["级\\"]) == ["班\\1"]
+
+
+def test_strings_and_columns_agree(spark):
+    lines = ["", " ", "扫码入群", "1 / 3", "正文", "spacer.gif x", "某工作室", "=====", "abc", "关注我们", "长按识别", "éé", "_", "12", "第１行　x"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = {r.x: (r.n, r.f, r.t) for r in df.select("x", tx.is_noise(F.col("x")).alias("n"), tx.is_footer(F.col("x")).alias("f"), tx.normalize_text(F.col("x")).alias("t")).collect()}
+    assert got == {x: (tx.noise_line(x), tx.footer_line(x), tx.normalize_plain(x)) for x in lines}
+    assert tx.cleaned_lines("主题：：：：：\n\u200b正文 一\r\n正文 一\n12\nx\n扫码入群\n后") == ["主题::", "正文一", "12"]
+    assert tx.parse_query("12 2a，12") == spark.range(1).select(tx.parse_query_col(F.lit("12 2a，12")).alias("t")).first().t == ["12", "2a"]
