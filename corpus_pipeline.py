@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept; all but
 the last return the columns of ``documents``.
+
+Edge cases: a null text is never toxic, links with nothing, has no personal data, has size 0 (so mixing
+takes no copy of it) and packs as the end id alone; empty texts likewise. A null doc_id is a document of its own in every stage. Rows
+that repeat each other are near-duplicates, of which one stays. Null languages and sources are values
+like others, null sources last. Texts are processed whole, however long. Ties (equal texts) go to the
+smaller doc_id, rows without one coming last. Empty tables give empty tables. Further columns of
+``documents`` stay until packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +34,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ship_package(spark)
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id IS NULL")
+    key = "doc_id"
     if not odd.isEmpty():
-        rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id())
-        rows = written(rows, "rows")
-        groups = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
-        copies = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
-        return rows.join(copies, "_row", "left_anti").select(*docs.columns)
-    groups = neardup.near_duplicates(docs, percent=80)
-    copies = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+        key = next(n for k in range(len(docs.columns) + 1) if (n := f"row{k}") not in docs.columns)
+        rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(key, F.monotonically_increasing_id())
+        docs_ = written(rows, "rows")
+    else:
+        docs_ = docs
+    groups = neardup.near_duplicates(docs_.select(F.col(key).alias("doc_id"), "text"), percent=80)
+    copies = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return docs_.join(copies, key, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
