@@ -84,3 +84,24 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     rows = [(1, one, "a"), (1, one, "b"), (2, two, "a"), (2, one, "a"), (None, two, "a"), (None, three, "a"), (None, three, "b"), (4, None, "a")]
     got = cp.drop_near_duplicates(spark, documents(spark, rows).repartition(3), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, one), (2, two), (0, three), (4, "")])
+
+
+def test_edge_rows_and_clashing_columns_in_every_stage(spark, sf_dir):
+    words = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join(words[i % 7 : 40 + i % 13]) + f" own{i} text{i} of{i} number{i} {i}" * 9, "abc"[i % 3]) for i in range(30)]
+    rows += [(3, rows[3][1], "a"), (3, rows[3][1], "a"), (4, rows[9][1], None), (None, rows[5][1], "b"), (None, None, None), (77, None, "a"), (78, "", "b"), (79, "long " * 60_000, None)]
+    full = [(i, t, "en", s, None if t is None else len(t), 1, 2, 3, "d", 4) for i, t, s in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, row0 int, copies int, label int, draw string, part int").repartition(3)
+    path = sf_dir(documents=docs, labels=spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int"))
+    kept = docs
+    for name, stage in cp.STAGES[:-1]:
+        before = kept
+        kept = stage(spark, kept, path).cache()
+        assert kept.columns == docs.columns, name
+        if name in ("toxicity", "personal_data"):
+            assert kept.count() <= before.count()
+        elif name == "near_dedup":
+            texts = [r.text for r in kept.collect() if r.text]
+            assert len(texts) == len(set(texts)) and any(t.startswith("long long") for t in texts) == any((r.text or "").startswith("long long") for r in before.collect())
+    packed = cp.STAGES[-1][1](spark, kept, path).collect()
+    assert all(r.length <= 1024 for r in packed) and cp.run(spark, path).count() == len(packed)
