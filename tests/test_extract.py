@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from facetmill.functions.gazetteer import Gazetteer
 from facetmill.operators.extract import Extractor, cells_of_lines, cells_of_text, destination_score, extract, extraction_summary, occurrences, within_one_edit
-from facetmill.operators.resolve import FIELDS, duplicate_of, finalize, group_by_rules, import_report, resolve
+from facetmill.operators.resolve import FIELDS, duplicate_of, finalize, group_by_rules, import_report, region_of_title, resolve
 
 X = Extractor(Gazetteer.of({"surnames": "张李王赵刘周", "cities": ["昆明", "武汉", "崇左"]}))
 
@@ -137,3 +137,10 @@ def test_groups_hold_first_rows_only(spark):
         near = [j for j, *_ in rows if j < k and bare[j] and bare[k] and (bare[j] == bare[k] or len(bare[k]) >= 3 and bare[k] in bare[j] or len(bare[j]) >= 3 and bare[j] in bare[k])]
         same = [j for j, _, p, _ in rows if j < k and p == place]
         assert got[k] == min(near or same or [None], key=lambda x: (x is None, x))
+
+
+def test_titles_name_a_region_and_a_date(spark):
+    titles = ["11月27日|| 沙龙——湖南选调经验分享", "北京 云南定向选调 03 月 5 日", "内蒙古座谈", "无", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    got = [tuple(r.r) for r in df.select("i", region_of_title(F.col("t")).alias("r")).orderBy("i").collect()]
+    assert got == [("湖南省", "11月27日"), ("云南省", "3月5日"), ("内蒙古自治区", None), (None, None), (None, None)]
